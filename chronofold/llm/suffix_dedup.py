@@ -14,10 +14,13 @@ identifiers made for one suffix serve all that read them.
   runs' bytes, sorted by the two bucket identifiers; in larger ones (a passage in very many surroundings) by a
   pre-aggregated count over the strings' hashes, so no task gathers a large bucket.
 
-Distinct texts are refined once, weighted by their copies; texts of at least 400 bytes that occur twice go whole.
+Texts of at least 400 bytes that occur twice go whole; they still lead others' strings to their bucket.
 Buckets are compared by 64-bit hashes, kinds and strings by 128 bits.
 
-Plan: texts are shuffled once (the exchange is reused), anchors twice, and what is left of the refinement.
+Plan: two narrow passes find the anchors; the first counts their buckets (8 bytes an anchor are shuffled), the second
+keeps those in a bucket that occurs twice, which is written down.  All else works on these.  The texts are shuffled
+once, for the refinement and the removal (the exchange is reused).  The table of repeated buckets is broadcast
+only if it has no more than BUCKETS rows.
 
 Edge cases.  Null text: empty.  Texts under 400 bytes, empty tables: nothing goes.  Repeated rows: both go.  Long
 texts are read in parts.  Null ids are kept.  Other columns are dropped.
@@ -33,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, powers, prepare
+from .common import materialise, mix64, powers, prepare, small_side
 
 LENGTH, Q = 400, 200
-SMALL, PART = 64, 1 << 20
+SMALL, PART, BUCKETS = 64, 1 << 20, 2_000_000
 _SHIFT = np.uint64(24)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TABLES: dict = {}
@@ -159,29 +162,30 @@ def _bytes(values) -> list[bytes]:
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        uid, copies = batch.column("uid").to_numpy(), batch.column("copies").to_numpy()
+        uid, key = batch.column("uid").to_numpy(), batch.column("key").to_numpy()
         for text, h, f, first, more, lead in anchors(_bytes(batch.column("text").to_pylist())):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[text], h, f, _pack(first, more, lead), copies[text])], names=["uid", "h", "f", "run", "copies"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid[text], key[text], h, f, _pack(first, more, lead))], names=["uid", "key", "h", "f", "run"])
 
 
-_CONTEXT = "h long, uid long, first long, cnt long, context binary"
-_STRINGS = "k1 long, k2 long, uid long, at long, cnt long"
+_CONTEXT = "h long, uid long, key long, first long, cnt long, context binary"
+_STRINGS = "k1 long, k2 long, uid long, key long, at long, cnt long"
+_RANGES = "uid long, key long, s long, e long"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for uid, text, runs in zip(batch.column("uid").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
+        for uid, key, text, runs in zip(batch.column("uid").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            rows += [(r["h"], uid, r["run"] >> 20, r["cnt"], data[r["run"] >> 20 : (r["run"] >> 20) + (r["run"] >> 10 & 1023) + LENGTH]) for r in runs]
+            rows += [(r["h"], uid, key, r["run"] >> 20, r["cnt"], data[r["run"] >> 20 : (r["run"] >> 20) + (r["run"] >> 10 & 1023) + LENGTH]) for r in runs]
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "uid", "first", "cnt", "context"])
+            kinds = (*[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "uid", "key", "first", "cnt", "context"])
 
 
 def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _contexts(batches):
-        first, uid, cnt = (batch.column(c).to_numpy() for c in ("first", "uid", "cnt"))
+        first, uid, key, cnt = (batch.column(c).to_numpy() for c in ("first", "uid", "key", "cnt"))
         contexts = batch.column("context").to_pylist()
         for a in range(0, len(contexts), 1000):
             part = contexts[a : a + 1000]
@@ -191,7 +195,7 @@ def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.repeat(np.arange(len(part)), strings)
             within = np.arange(len(own)) - (np.cumsum(strings) - strings)[own]
             k1, k2 = (Rolling(data, b).all(LENGTH)[begins[own] + within].view(np.int64) for b in _BASES)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, uid[a:][own], first[a:][own] + within, cnt[a:][own])], names=["k1", "k2", "uid", "at", "cnt"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1, k2, uid[a:][own], key[a:][own], first[a:][own] + within, cnt[a:][own])], names=["k1", "k2", "uid", "key", "at", "cnt"])
 
 
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,18 +204,18 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        found = refine([r[4] for r in rows], np.array([r[3] for r in rows]))
-        out = [(r[1], r[2] + s, r[2] + e - 1 + LENGTH) for r, ranges in zip(rows, found, strict=True) for s, e in ranges]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["uid", "s", "e"])
+        found = refine([r[5] for r in rows], np.array([r[4] for r in rows]))
+        out = [(r[1], r[2], r[3] + s, r[3] + e - 1 + LENGTH) for r, ranges in zip(rows, found, strict=True) for s, e in ranges]
+        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["uid", "key", "s", "e"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "uid", "first", "cnt", "context")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "uid", "key", "first", "cnt", "context")), strict=True):
             if size > PART and held[-1][0] != row[0]:
                 yield flush(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[4])
+            size += len(row[5])
     if held:
         yield flush(held)
 
@@ -240,41 +244,46 @@ def dedup_substrings(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64(text, F.lit(21)).alias("uid"), F.xxhash64(text, F.lit(22)).alias("uid2"), text.alias("text"))
-    texts = base.groupBy("uid", "uid2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    runs = texts.select("uid", "text", "copies").mapInArrow(_anchor_rows, "uid long, h long, f long, run long, copies long")
-
-    kinds = runs.groupBy("h", "f").agg(F.sum("copies").alias("cnt"), F.min(F.struct("uid", "run")).alias("one"))
-    buckets = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
-    open_ = kinds.join(buckets, "h").select("h", "cnt", "one.uid", "one.run", (F.col("kinds") > SMALL).alias("large"))
-    settled = runs.where(F.col("copies") == 1).join(kinds.where(F.col("cnt") > 1).select("h", "f"), ["h", "f"], "left_semi")
+    # uid: a hash of the text; key: the id, null ids lowest.
+    base = docs.select("doc_id", F.xxhash64(text, F.lit(21)).alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("key"), text.alias("text"))
+    runs = base.select("uid", "key", "text").mapInArrow(_anchor_rows, "uid long, key long, h long, f long, run long")
+    buckets = materialise(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("h"), "suffix-buckets")
+    runs = materialise(runs.join(small_side(buckets, BUCKETS), "h", "left_semi"), "suffix-runs")
+    copies = materialise(base.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("uid"), "suffix-copies")
+
+    kinds = runs.groupBy("h", "f").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("uid", "key", "run")).alias("one"))
+    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > 1)
+    open_ = kinds.join(mixed, "h").select("h", "cnt", "one.uid", "one.key", "one.run", (F.col("kinds") > SMALL).alias("large"))
+    lists = materialise(open_.groupBy("uid", "key", "large").agg(F.collect_list(F.struct("h", "run", "cnt")).alias("runs")), "suffix-open")
     first, more = F.shiftright("run", 20), F.shiftright("run", 10).bitwiseAND(F.lit(1023))
-    ranges = settled.select("uid", first.alias("s"), (first + more + LENGTH).alias("e"))
+    settled = runs.join(copies, "uid", "left_anti").join(kinds.where(F.col("cnt") > 1).select("h", "f"), ["h", "f"], "left_semi")
+    ranges = settled.select("uid", "key", first.alias("s"), (first + more + LENGTH).alias("e"))
 
-    def opened(large: bool) -> DataFrame:
-        lists = open_.where(F.col("large") == large).groupBy("uid").agg(F.collect_list(F.struct("h", "run", "cnt")).alias("runs"))
-        return texts.select("uid", "text").join(lists, "uid")
-
-    small = opened(False).mapInArrow(_contexts, _CONTEXT).repartition("h").sortWithinPartitions("h").mapInArrow(_refined, "uid long, s long, e long")
+    texts = base.select("uid", "key", "doc_id", "text")
+    opened = lambda large: texts.join(lists.where(F.col("large") == large).drop("large"), ["uid", "key"])
+    small = opened(False).mapInArrow(_contexts, _CONTEXT).repartition("h").sortWithinPartitions("h").mapInArrow(_refined, _RANGES)
     strings = opened(True).mapInArrow(_string_rows, _STRINGS)
     again = strings.groupBy("k1", "k2").agg(F.sum("cnt").alias("n")).where(F.col("n") > 1).select("k1", "k2")
-    large = strings.join(again, ["k1", "k2"], "left_semi").select("uid", F.col("at").alias("s"), (F.col("at") + LENGTH).alias("e"))
-
-    found = ranges.unionByName(small).unionByName(large).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    names = ["uid", "uid2", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
+    large = strings.join(again, ["k1", "k2"], "left_semi").select("uid", "key", F.col("at").alias("s"), (F.col("at") + LENGTH).alias("e"))
+    # A range of no end: the whole text goes.
+    whole = base.select("uid", "key").join(copies, "uid").select("uid", "key", F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"))
+    found = ranges.unionByName(small).unionByName(large).unionByName(whole).groupBy("uid", "key").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data, copies, own in zip(_bytes(batch.column("text").to_pylist()), batch.column("copies").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                whole = copies > 1 and len(data) >= LENGTH
-                kept, gone, spans = remove(data, [(0, len(data))] if whole else [(r["s"], r["e"]) for r in own or []])
-                rows.append((len(data), gone, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
+            for data, own in zip(_bytes(batch.column("text").to_pylist()), batch.column("ranges").to_pylist(), strict=True):
+                gone = [(r["s"], r["e"]) for r in own or []]
+                if any(e < 0 for _, e in gone):
+                    gone = [(0, len(data))] if len(data) >= LENGTH else []
+                kept, n, spans = remove(data, gone)
+                rows.append((len(data), n, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
             kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("uid2"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds_))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds_))], names=names)
 
-    done = texts.join(found, "uid", "left").mapInArrow(run, "uid long, uid2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
-    return base.select("doc_id", "uid", "uid2").join(done, ["uid", "uid2"]).drop("uid", "uid2")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return texts.join(found, ["uid", "key"], "left").select("doc_id", "text", "ranges").mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
 
 
 def digest(done: DataFrame) -> DataFrame:
