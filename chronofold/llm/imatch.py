@@ -3,8 +3,9 @@
 Terms are a text's distinct lower-cased words, as 64-bit hashes.  The lexicon is the terms within a band of
 inverse document frequency: those held by MIN_SHARE to MAX_SHARE of all documents (idf 3 to 8).  A text keeps
 its terms that are in the lexicon, sorted; each of the fixed random subsets of the lexicon (a term is in a
-subset if some of its hash bits have given values; 1, 1/4, 1/16, 1/64 or 1/256 of the terms are) hashes the
-kept terms that it holds, and the fingerprint is the list of these hashes.  Equal texts have equal fingerprints.
+subset if some of its hash bits have given values: all, 1/4, 1/16, 1/64 or 1/256 of the terms are) hashes the
+kept terms that it holds, and the fingerprint is the list of these hashes; rates that would put more than a dozen
+terms into each subset are left out for long texts.  Equal texts have equal fingerprints.
 
 The likeness of two fingerprints is the share of equal hashes among the subsets that are not empty for both, at
 the rate where that share is largest, counting only rates with MIN_FILLED such subsets; texts with very few terms
@@ -33,19 +34,24 @@ from pyspark.sql import functions as F
 from .common import materialise, prepare, small_side
 
 MIN_SHARE, MAX_SHARE, LEXICON_ROWS = 0.0004, 0.05, 2_000_000
-RATES, SUBSETS = (0, 2, 4, 6, 8), 24
+BITS, SUBSETS = (2, 4, 6, 8), 24
 MIN_TERMS, MIN_FILLED, SMALL = 4, 6, 48
-EMPTY = "002A"  # the hash of no terms
+EMPTY, OVER = "002A", "----"  # the hash of no terms; a subset of a text with too many terms for its rate
 
 
-def patterns(seed: int = 5) -> list[tuple[int, int, int]]:
-    """(rate index, mask, value) of each subset: the hash bits that are looked at and the values they must have."""
+def patterns(seed: int = 5) -> list[tuple[int, tuple[int, int], list[tuple[int, int]], int | None]]:
+    """For each rate: hash bits that are looked at, the (mask, value) that all its subsets share, those of each subset,
+    and the most terms that a text may have for it (None: any number)."""
     rng, out = random.Random(seed), []
-    for k, bits in enumerate(RATES):
-        for _ in range(SUBSETS if bits else 1):
-            at = rng.sample(range(63), bits)
-            mask = sum(1 << b for b in at)
-            out.append((k, mask, sum(1 << b for b in at if rng.random() < 0.5)))
+
+    def some(at: list[int]) -> tuple[int, int]:
+        return sum(1 << b for b in at), sum(1 << b for b in at if rng.random() < 0.5)
+
+    for bits in BITS:
+        shared = rng.sample(range(63), max(0, bits - 4))
+        free = [b for b in range(63) if b not in shared]
+        subsets = [some(rng.sample(free, bits - len(shared))) for _ in range(SUBSETS)]
+        out.append((bits, some(shared), subsets, SMALL << (bits - 2) if bits < max(BITS) else None))
     return out
 
 
@@ -69,29 +75,35 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _hash(terms: Column) -> Column:
+    return F.substring(F.lpad(F.hex(F.xxhash64(terms)), 16, "0"), 13, 4)
+
+
 def fingerprint_of(terms: Column) -> Column:
-    """Hash of each subset's share of the sorted terms, four hexadecimal digits each."""
-    subsets = F.array([F.struct(F.lit(m).cast("long").alias("m"), F.lit(v).cast("long").alias("v")) for _, m, v in PATTERNS])
-    one = lambda ts, p: F.substring(F.lpad(F.hex(F.xxhash64(F.filter(ts, lambda t: t.bitwiseAND(p["m"]) == p["v"]))), 16, "0"), 13, 4)
-    return _once(terms, lambda ts: F.array_join(F.transform(subsets, lambda p: one(ts, p)), ""))
+    """Hash of all sorted terms, then of each subset's share of them, four hexadecimal digits each."""
+
+    def level(ts: Column, shared: tuple[int, int], subsets: list[tuple[int, int]], most: int | None) -> Column:
+        each = F.array([F.struct(F.lit(m).cast("long").alias("m"), F.lit(v).cast("long").alias("v")) for m, v in subsets])
+        base = F.filter(ts, lambda t: t.bitwiseAND(F.lit(shared[0]).cast("long")) == F.lit(shared[1]).cast("long")) if shared[0] else ts
+        out = _once(base, lambda bs: F.array_join(F.transform(each, lambda p: _hash(F.filter(bs, lambda t: t.bitwiseAND(p["m"]) == p["v"]))), ""))
+        return out if most is None else F.when(F.size(ts) > most, OVER * len(subsets)).otherwise(out)
+
+    return _once(terms, lambda ts: F.concat(_hash(ts), *(level(ts, *x[1:]) for x in PATTERNS)))
 
 
 def _parts(fp: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(len(PATTERNS) - 1)), lambda i: F.substring(fp, i * 4 + 1, F.lit(4)))
+    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS * len(BITS))), lambda i: F.substring(fp, i * 4 + 1, F.lit(4)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Likeness of two fingerprints, from 0 to 1."""
-    pairs = F.zip_with(_parts(a), _parts(b), lambda x, y: F.when((x == EMPTY) & (y == EMPTY), F.lit(None)).otherwise(F.when(x == y, 1).otherwise(0)))
+    pairs = F.zip_with(_parts(a), _parts(b), lambda x, y: F.when(((x == EMPTY) & (y == EMPTY)) | (x == OVER) | (y == OVER), F.lit(None)).otherwise(F.when(x == y, 1).otherwise(0)))
 
     def best(found: Column) -> Column:
-        levels, start = [], 0
-        for bits in RATES:
-            size = SUBSETS if bits else 1
-            part = F.filter(F.slice(found, start + 1, size), lambda x: x.isNotNull())
-            start += size
-            if bits:
-                levels.append(_once(part, lambda p: F.when(F.size(p) >= MIN_FILLED, _mean(p))))
+        levels = []
+        for k in range(len(BITS)):
+            part = F.filter(F.slice(found, 2 + k * SUBSETS, SUBSETS), lambda x: x.isNotNull())
+            levels.append(_once(part, lambda p: F.when(F.size(p) >= MIN_FILLED, _mean(p))))
         filled = F.filter(found, lambda x: x.isNotNull())
         return F.coalesce(F.greatest(*levels), _once(filled, lambda p: F.when(F.size(p) > 0, _mean(p))), F.lit(0.0))
 
