@@ -1,15 +1,164 @@
-"""Named queries and their SQL."""
+"""Named queries and their SQL.  Queries over events read it as a log: log = user_id, seq = event_id."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import keys
+from ..operators import chain, folds, paged
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", text):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(log, seq, payload, key): payload has the event's type with its props, and a field that is null for errors."""
+    e = table(spark, sf_dir, "events")
+    payload = F.concat(F.lit('{"'), F.col("event_type"), F.lit('":'), F.when(F.col("event_id") % 7 == 0, "null").when(F.col("event_id") % 11 == 0, F.col("event_id").cast("string")).otherwise(F.col("props")), F.lit("}"))
+    return e.select(F.col("user_id").alias("log"), F.col("event_id").alias("seq"), payload.alias("payload"), keys.to_base64(F.col("event_id") + 64).alias("key"))
+
+
+#: One text for both engines.
+BOTH = {
+    "fold_tombstone": "SELECT user_id, event_type, value FROM (SELECT user_id, event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) t WHERE rn = 1 AND value IS NOT NULL",
+    "fold_fill_missing": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(l.quality, CAST(-1 AS INT)) AS quality FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id",
+    "point_lookup": "SELECT event_id, user_id, event_type, value FROM events WHERE event_id = 77",
+    "range_read": "SELECT event_id, user_id, event_type FROM events WHERE event_id BETWEEN 100 AND 299",
+    "find_predicate": "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value > 50",
+    "delta_since": "SELECT event_id, user_id, event_type FROM events WHERE event_id > 500",
+    "exists_predicate": "SELECT user_id, bool_or(event_type = 'error') AS any_error, bool_and(value >= 0) AS all_positive, count(*) AS n FROM events GROUP BY user_id",
+    "nth_record": "SELECT user_id, event_id, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) t WHERE rn = 3",
+    "first_last_record": "SELECT user_id, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM events GROUP BY user_id",
+    "distinct_keys": "SELECT event_type, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY event_type",
+    "entities_summary": "SELECT user_id AS entity, count(*) AS size, max(event_id) AS last_key, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id",
+    "settle_first_result": "SELECT c.event_id, c.user_id, min(r.event_id) AS result_id FROM events c JOIN events r ON r.user_id = c.user_id AND r.event_type = 'purchase' AND r.event_id > c.event_id WHERE c.event_type = 'click' GROUP BY c.event_id, c.user_id",
+    "entity_resolve": "SELECT e.event_id, e.user_id, c.c_name, c.c_mktsegment FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey",
+    "children_join": "SELECT n.n_name, r.r_name FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey",
+    "log_equality": "SELECT event_type, user_id FROM events WHERE event_id < 800 EXCEPT ALL SELECT event_type, user_id FROM events WHERE event_id >= 200",
+    "log_union": "SELECT event_type, user_id FROM events WHERE event_id < 50 UNION ALL SELECT event_type, user_id FROM events WHERE event_id BETWEEN 25 AND 75",
+    "missing_keys": "SELECT d.doc_id FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id",
+    "write_gaps": "SELECT user_id, count(gap) AS gaps, CAST(sum(gap) AS BIGINT) AS total FROM (SELECT user_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events) t GROUP BY user_id",
+    "percentiles": "SELECT event_type, max(CASE WHEN rn = least(n - 1, CAST(floor(0.5 * n) AS BIGINT)) THEN value END) AS p50, max(CASE WHEN rn = least(n - 1, CAST(floor(0.95 * n) AS BIGINT)) THEN value END) AS p95, max(CASE WHEN rn = least(n - 1, CAST(floor(0.99 * n) AS BIGINT)) THEN value END) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) t GROUP BY event_type",
+    "ancestry_closure": "WITH RECURSIVE up(id, root, depth) AS (SELECT event_id, event_id, 0 FROM events WHERE event_id < 8 UNION ALL SELECT e.event_id, up.root, up.depth + 1 FROM events e JOIN up ON CAST(floor(e.event_id / 8) AS BIGINT) = up.id WHERE e.event_id >= 8 AND e.event_id < 600) SELECT CAST(id AS BIGINT) AS id, CAST(root AS BIGINT) AS root, CAST(depth AS INT) AS depth FROM up",
+    "sql_join_agg": "SELECT n.n_name, count(*) AS n, CAST(sum(CAST(round(o.o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name",
+    "sql_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
+    "sql_group_topk": "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 2",
+    "sql_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "sql_rollup": "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ROLLUP (p_brand, p_size)",
+    "sql_grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
+    "sql_window_rank": "SELECT s_suppkey, s_nationkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r, dense_rank() OVER (ORDER BY s_nationkey) AS dr, ntile(4) OVER (ORDER BY s_acctbal, s_suppkey) AS q FROM supplier",
+    "sql_window_frame": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n3, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS high, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next_id FROM events",
+    "sql_semi": "SELECT c_custkey, c_name FROM customer LEFT SEMI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 100000",
+    "sql_anti": "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000",
+    "sql_full_outer": "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL OUTER JOIN customer c ON s.s_suppkey = c.c_custkey",
+    "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
+    "sql_except": "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 48",
+    "sql_distinct_agg": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS supps FROM lineitem GROUP BY l_returnflag",
+    "sql_correlated_subquery": "SELECT o_orderkey, o_custkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o2.o_totalprice) FROM orders o2 WHERE o2.o_custkey = o.o_custkey)",
+    "sql_range_join": "SELECT r.k AS lo, count(*) AS n FROM (SELECT CAST(n_nationkey * 40 AS BIGINT) AS k FROM nation) r JOIN events e ON e.event_id >= r.k AND e.event_id < r.k + 40 GROUP BY r.k",
+    "sql_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
+    "sql_q1": "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus",
+}
+
+#: (Spark SQL or function, DuckDB SQL)
+PAIRS: dict[str, tuple] = {
+    "fold_assign": ("SELECT user_id, event_type, max_by(struct(value AS v), event_id).v AS value, max(event_id) AS seq FROM events GROUP BY user_id, event_type", "SELECT user_id, event_type, value, event_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1"),
+    "fold_append": ("SELECT conv_id, listagg(role, ',') WITHIN GROUP (ORDER BY turn) AS roles FROM conversations GROUP BY conv_id", "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id"),
+    "fold_upsert_by_id": (
+        lambda s, d: folds.upsert_by_id(table(s, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id"),
+        "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1",
+    ),
+    "fold_merge_nested": (
+        lambda s, d: folds.merge(events_log(s, d)).select(F.col("log").alias("user_id"), "k", F.coalesce("sub", F.lit("")).alias("sub"), "v"),
+        """WITH e AS (SELECT user_id, event_id, event_type AS k, CASE WHEN event_id % 7 = 0 THEN 'null' WHEN event_id % 11 = 0 THEN CAST(event_id AS VARCHAR) ELSE props END AS v FROM events),
+        l AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id DESC) AS rn FROM e)
+        SELECT user_id, k, CASE WHEN v LIKE '{%' THEN 'k' ELSE '' END AS sub, CASE WHEN v LIKE '{%' THEN json_extract_string(v, '$.k') ELSE v END AS v FROM l WHERE rn = 1 AND v <> 'null'""",
+    ),
+    "fold_deep_merge": (
+        lambda s, d: folds.deep_merge(events_log(s, d), depth=3).select(F.col("log").alias("user_id"), "path", "v"),
+        """WITH e AS (SELECT user_id, event_id, event_type AS k, CASE WHEN event_id % 7 = 0 THEN 'null' WHEN event_id % 11 = 0 THEN CAST(event_id AS VARCHAR) ELSE props END AS v FROM events),
+        l AS (SELECT *, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id DESC) AS rn FROM e)
+        SELECT user_id, CASE WHEN v LIKE '{%' THEN k || '/k' ELSE k END AS path, CASE WHEN v LIKE '{%' THEN json_extract_string(v, '$.k') ELSE v END AS v FROM l WHERE rn = 1 AND v <> 'null'""",
+    ),
+    "json_path_get": ("SELECT event_id, variant_get(parse_json(props), '$.k', 'int') AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events"),
+    "hash_sha64": (lambda s, d: table(s, d, "events").select("event_id", keys.sha64_hex(F.col("props")).alias("h")), "SELECT event_id, substr(sha256(props), 1, 16) AS h FROM events"),
+    "hash_chain_key": (
+        lambda s, d: sql(s, d, "SELECT event_id, props, lag(props) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events").select("event_id", F.lower(F.lpad(F.hex(keys.full_key(F.col("props"), F.col("p"))), 16, "0")).alias("h")),
+        "SELECT event_id, lower(lpad(to_hex(xor(CAST('0x' || substr(sha256(props), 1, 16) AS UBIGINT), CAST('0x' || substr(sha256(coalesce(lag(props) OVER (PARTITION BY user_id ORDER BY event_id), '')), 1, 16) AS UBIGINT))), 16, '0')) AS h FROM events",
+    ),
+    "key_b64": (
+        lambda s, d: table(s, d, "events").select("event_id", keys.to_base64(F.col("event_id") * 7919).alias("b64")),
+        "SELECT event_id, CASE WHEN event_id = 0 THEN '0' ELSE ltrim(array_to_string(list_transform(range(10, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ-+', CAST(((event_id * 7919) >> (6 * i)) & 63 AS INT) + 1, 1)), ''), '0') END AS b64 FROM events",
+    ),
+    "level_histogram": (
+        lambda s, d: table(s, d, "events").groupBy(F.length(F.bin(F.col("event_id") + 1)).alias("level")).agg(F.count(F.lit(1)).alias("n")),
+        "SELECT length(bin(event_id + 1)) AS level, count(*) AS n FROM events GROUP BY 1",
+    ),
+    "byte_offsets": ("SELECT event_id, user_id, CAST(sum(octet_length(props) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_at FROM events", "SELECT event_id, user_id, CAST(sum(strlen(props) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS end_at FROM events"),
+    "line_explode": (
+        lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line"),
+        "SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)",
+    ),
+    "page_pack": (
+        lambda s, d: paged.pack_pages(table(s, d, "documents"), 1024),
+        """WITH RECURSIVE l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, strlen(unnest(ls)) + 1 AS b FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+        p(doc_id, i, page, used) AS (SELECT doc_id, i, CAST(0 AS BIGINT), CAST(b AS BIGINT) FROM l WHERE i = 1
+          UNION ALL SELECT l.doc_id, l.i, CASE WHEN p.used + l.b > 1024 THEN p.page + 1 ELSE p.page END, CASE WHEN p.used + l.b > 1024 THEN CAST(l.b AS BIGINT) ELSE CAST(p.used + l.b AS BIGINT) END FROM p JOIN l ON l.doc_id = p.doc_id AND l.i = p.i + 1)
+        SELECT doc_id, page, count(*) AS n_lines, CAST(max(used) AS BIGINT) AS n_bytes FROM p GROUP BY doc_id, page""",
+    ),
+    "children_natural_sort": (
+        "SELECT id, row_number() OVER (ORDER BY transform(split(id, '[.]'), x -> CAST(x AS INT)), id) AS pos FROM (SELECT concat(CAST(n_regionkey AS STRING), '.', CAST(n_nationkey AS STRING)) AS id FROM nation) t",
+        "SELECT id, row_number() OVER (ORDER BY list_transform(string_split(id, '.'), lambda x: CAST(x AS INT)), id) AS pos FROM (SELECT CAST(n_regionkey AS VARCHAR) || '.' || CAST(n_nationkey AS VARCHAR) AS id FROM nation)",
+    ),
+    "last_value": ("SELECT event_type, max_by(user_id, event_id) AS user_id, max(event_id) AS event_id FROM events GROUP BY event_type", "SELECT event_type, arg_max(user_id, event_id) AS user_id, max(event_id) AS event_id FROM events GROUP BY event_type"),
+    "lines_join": ("SELECT conv_id, listagg(text, '\\n') WITHIN GROUP (ORDER BY turn) AS t FROM conversations GROUP BY conv_id", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY conv_id"),
+    "sql_asof": (
+        "SELECT o.o_orderkey, max(e.event_id) AS event_id FROM orders o LEFT JOIN events e ON e.user_id = o.o_custkey AND e.event_id <= o.o_orderkey GROUP BY o.o_orderkey",
+        "SELECT o.o_orderkey, e.event_id FROM orders o ASOF LEFT JOIN events e ON e.user_id = o.o_custkey AND e.event_id <= o.o_orderkey",
+    ),
+    "win_tumbling": ("SELECT window.start AS w, event_type, count(*) AS n FROM events GROUP BY window(ts, '1 hour'), event_type", "SELECT time_bucket(INTERVAL '1 hour', ts) AS w, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    "win_sliding": ("SELECT window.start AS w, count(*) AS n FROM events GROUP BY window(ts, '1 hour', '30 minutes')", "SELECT time_bucket(INTERVAL '30 minutes', ts) - to_minutes(30 * k) AS w, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1"),
+    "win_session": (
+        "SELECT user_id, session_window.start AS w, count(*) AS n FROM events GROUP BY user_id, session_window(ts, '30 minutes')",
+        "SELECT user_id, min(ts) AS w, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s",
+    ),
+}
+
+
+def _verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write each user's events as a chain, then audit it."""
+    e = table(spark, sf_dir, "events")
+    return chain.verify(chain.write_chain(e.select(F.col("user_id").alias("log"), F.col("event_id").alias("seq"), F.col("props").alias("payload"))))
+
+
+#: Without SQL: what they read is made by a sequential allocator.
+ROWS_ONLY = {
+    "verify_chain": _verify,
+    "level_occupancy": lambda s, d: chain.levels(chain.write_chain(table(s, d, "events").select(F.col("user_id").alias("log"), F.col("event_id").alias("seq"), F.col("props").alias("payload")))),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def of(q) -> Callable[[SparkSession, str], DataFrame]:
+        return (lambda spark, sf_dir: sql(spark, sf_dir, q)) if isinstance(q, str) else q
+
+    return {k: of(q) for k, q in BOTH.items()} | {k: of(q) for k, (q, _) in PAIRS.items()} | ROWS_ONLY
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    semi = {k: re.sub(r"LEFT (SEMI|ANTI) JOIN", r"\1 JOIN", q) for k, q in BOTH.items()}
+    return semi | {k: q for k, (_, q) in PAIRS.items()}
