@@ -33,7 +33,8 @@ _COMPRESSORS: dict = {}
 
 def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(word, n_all, n_good): occurrences over all documents and over those of good quality."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("good_id")).distinct()
+    # Labels grow with the documents: a merge join at every size, so that the plan is the same at every size.
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("good_id")).distinct().hint("merge")
     d = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(good, F.col("doc_id") == F.col("good_id"), "left")
     w = d.select(F.when(F.col("good_id").isNotNull(), 1).otherwise(0).alias("good"), F.explode(F.split("text", "[ \n]+")).alias("word"))
     w = w.where(F.char_length("word").between(MIN_CHARS, MAX_CHARS))
