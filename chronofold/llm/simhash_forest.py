@@ -5,17 +5,20 @@ a 128-bit SimHash of its distinct shingles.  Each tree of the forest orders the
 own random permutation; two texts that share the first ``depth`` permuted bits meet in that tree.  The depth is the
 shortest prefix, and the number of trees the least, at which a pair at the similarity threshold meets in some tree
 with at least the target recall (:func:`plan_forest`); the depth grows with the logarithm of the number of texts,
-so a prefix holds a bounded number of unrelated texts.  Where a prefix is denser than BLOCK, the order within it
-(longer prefixes) decides which texts meet.
+so a prefix holds a bounded number of unrelated texts.
 
-Texts that meet are compared by all 128 bits; pairs within the Hamming bound are candidates (of a prefix with more
-than ALL texts, each text's NEAREST nearest; the trees together still give it many), and candidates are verified by
-the Jaccard similarity of their whole shingle sets.  Verified links are joined to classes by alternating stars.
+Two passes.  The first looks for easy links: in its START trees each text of a prefix with more than ALL texts proposes
+its NEAREST nearest within BLOCK rows.  The second leaves nothing out: of all texts that share a prefix in any tree,
+every pair within the Hamming bound that the first pass has not yet put into one class is a candidate (a pair comes
+from the first tree in which it meets; pairs whose numbers of shingles alone rule the similarity out are dropped).
+So the classes are those of all pairs that meet, while a dense group that the first pass has joined costs no pairs.
+Candidates are verified by the Jaccard similarity of their whole shingle sets.  Verified links are joined to classes by
+alternating stars.  Links within a class are not counted, as not all of them are looked at.
 
 Equal texts are one node, so copies are never compared.  Verification places the shingles of a candidate's
 neighbourhood in one group of bounded size (a large neighbourhood is dealt to blocks), so each shingle set is
-moved a few times and not once a pair.  No group of rows is gathered without a bound, and links, classes and
-signatures stay distributed.
+moved a few times and not once a pair.  The second pass holds the rows of one prefix at a time (44 bytes a text);
+links, classes and signatures stay distributed.
 
 Edge cases.  Null text: empty.  Texts without words (empty ones too) are in a class only with their equals.  A class
 without any doc_id takes a hash as its id.  Repeated rows: a row each (keep_one keeps one of them).  Empty table: no rows.  Other
@@ -36,6 +39,7 @@ from .common import WORD_BYTES, groups_of_texts, materialise, mix64, powers, pre
 
 SHINGLE, SIMILARITY, RECALL, BITS = 5, 0.8, 0.99, 128
 ALL, NEAREST, BLOCK, CROWD, GROUP = 16, 4, 1024, 256, 512
+START = 24
 _BASE = 0x9E3779B97F4A7C15
 _CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _STEPS = mix64(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -217,6 +221,94 @@ def _meet_rows(bound: int):
     return run
 
 
+def masks(perms: np.ndarray, depth: int) -> np.ndarray:
+    """(trees, 2) unsigned: the signature bits that are the first depth ones of each tree."""
+    bits = np.zeros((len(perms), BITS), np.uint8)
+    np.put_along_axis(bits, perms[:, :depth], 1, axis=1)
+    return _as_longs(bits)
+
+
+def _climb_rows(depth: int, trees: int):
+    perms = permutations(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.stack([batch.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64).astype(">u8")
+            bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 16), axis=1)
+            for k, perm in enumerate(perms):
+                key = bits[:, perm[:depth]].astype(np.int64) @ (1 << np.arange(depth - 1, -1, -1, dtype=np.int64)) + (k << depth)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c) for c in ("s1", "s2", "node", "label", "shingles"))], names=["prefix", "s1", "s2", "node", "label", "shingles"])
+
+    return run
+
+
+def apart(rows: np.ndarray, depth: int, seen: np.ndarray, bound: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All candidate pairs of rows (prefix, s1, s2, node, label, shingles; sorted by prefix) that share a prefix, are within the
+    bound and not of one label (0: none yet), each pair in the first tree in which it meets; seen: masks of the trees."""
+    prefix, s, label, size = rows[0], rows[1:3].view(np.uint64), rows[4], rows[5]
+
+    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = ((label[i] != label[j]) | (label[i] == 0)) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+        i, j = i[ok], j[ok]
+        if len(i):
+            x, tree = s[:, i] ^ s[:, j], prefix[i] >> depth
+            met = np.zeros(len(i), bool)
+            for t in range(int(tree.max())):
+                met |= (t < tree) & (x[0] & seen[t, 0] == 0) & (x[1] & seen[t, 1] == 0)
+            i, j = i[~met], j[~met]
+        return i, j
+
+    edge = np.flatnonzero(np.diff(prefix)) + 1
+    start, stop = np.concatenate(([0], edge)), np.concatenate((edge, [len(prefix)]))
+    count = stop - start
+    few = np.repeat(count <= ALL, count)
+    for o in range(1, min(ALL, len(prefix))):
+        i = np.flatnonzero(few[:-o] & (prefix[:-o] == prefix[o:]))
+        if not len(i):
+            break
+        i = i[_distance(s, i, i + o) <= bound]
+        yield kept(i, i + o)
+    for a, b in zip(start[count > ALL], stop[count > ALL], strict=True):
+        # The largest class comes last: its texts need not be compared with one another.
+        own, n = np.unique(label[a:b][label[a:b] != 0], return_counts=True)
+        most = label[a:b] == own[n.argmax()] if len(own) else np.zeros(b - a, bool)
+        at = a + np.concatenate((np.flatnonzero(~most), np.flatnonzero(most)))
+        others, step = int((~most).sum()), max(1, (1 << 21) // (b - a))
+        for c in range(0, others, step):
+            left, right = at[c : min(c + step, others)], at[c:]
+            x, y = np.nonzero(_distance(s, left[:, None], right[None, :]) <= bound)
+            x, y = x[x < y], y[x < y]
+            for k in range(0, len(x), 1 << 18):
+                yield kept(left[x[k : k + (1 << 18)]], right[y[k : k + (1 << 18)]])
+
+
+def _apart_rows(depth: int, trees: int, bound: int, similarity: float):
+    names, seen = ("prefix", "s1", "s2", "node", "label", "shingles"), masks(permutations(trees), depth)
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i, j in apart(rows, depth, seen, bound, similarity):
+            if len(i):
+                a, b = rows[3][i], rows[3][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, limit = [], 0, 1 << 17
+        for batch in batches:
+            held.append(np.stack([batch.column(c).to_numpy() for c in names]))
+            n += held[-1].shape[1]
+            if n >= limit:
+                rows = np.concatenate(held, axis=1)
+                whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last prefix may go on
+                if whole:
+                    yield from pairs(rows[:, :whole])
+                held, n = [rows[:, whole:].copy()], n - whole
+                limit = max(1 << 17, 2 * n)
+        if n:
+            yield from pairs(np.concatenate(held, axis=1))
+
+    return run
+
+
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
@@ -288,14 +380,24 @@ def signed(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(_sign_rows, "doc_id long, node long, s1 long, s2 long, shingles long")
 
 
-def candidates(nodes: DataFrame, similarity: float, recall: float, n: int) -> DataFrame:
-    depth, trees = plan_forest(n, similarity, recall)
-    rows = nodes.select("node", "s1", "s2").mapInArrow(_tree_rows(depth, trees), "prefix long, p1 long, p2 long, node long")
+def near_candidates(nodes: DataFrame, similarity: float, n: int) -> DataFrame:
+    """Pairs of the first pass: each text with its nearest."""
+    depth = max(16, math.ceil(math.log2(max(1, n) / CROWD)))
+    rows = nodes.select("node", "s1", "s2").mapInArrow(_tree_rows(depth, START), "prefix long, p1 long, p2 long, node long")
     unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(2**63)).cast("long"))
     dealt = rows.repartition("prefix").sortWithinPartitions("prefix", unsigned("p1"), unsigned("p2"))
     return dealt.mapInArrow(_meet_rows(hamming_bound(similarity)), "a long, b long").distinct()
 
 
+def other_candidates(nodes: DataFrame, roots: DataFrame, similarity: float, recall: float, n: int) -> DataFrame:
+    """Pairs of the second pass: all that meet and are not of one class yet; roots: (node, root) of the first pass."""
+    depth, trees = plan_forest(n, similarity, recall)
+    labelled = nodes.join(roots, "node", "left").select("s1", "s2", "node", F.coalesce("root", F.lit(0).cast("long")).alias("label"), "shingles")
+    rows = labelled.mapInArrow(_climb_rows(depth, trees), "prefix long, s1 long, s2 long, node long, label long, shingles long")
+    dealt = rows.repartition("prefix").sortWithinPartitions("prefix")
+    return dealt.mapInArrow(_apart_rows(depth, trees, hamming_bound(similarity), similarity), "a long, b long")
+
+
 def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose whole shingle sets reach the similarity."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -318,22 +420,26 @@ def verify(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: floa
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), class_docs, n_links (verified links to other texts), kept
-    (the class's first document) and text_hash (equal for equal texts), per row of docs."""
+    """doc_id, class_id (the least doc_id of its class), class_docs, kept (the class's first document) and text_hash
+    (equal for equal texts), per row of docs."""
     prepare(docs.sparkSession)
     rows = materialise(signed(docs), "near-signed")
     nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("shingles").alias("shingles")), "near-nodes")
     worded = nodes.where("shingles > 0")
-    pairs = materialise(candidates(worded, similarity, recall, worded.count()), "near-pairs")
-    links = materialise(verify(docs, nodes, pairs, similarity), "near-links")
+    n = worded.count()
+    easy = materialise(near_candidates(worded, similarity, n), "near-pairs")
+    links = materialise(verify(docs, nodes, easy, similarity), "near-links")
     roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classed = nodes.join(roots, "node", "left").join(degree, "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    roots = materialise(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "near-roots")
+    other = materialise(other_candidates(worded, roots, similarity, recall, n).join(easy, ["a", "b"], "left_anti"), "near-others")
+    more = materialise(verify(docs, nodes, other, similarity), "near-more")
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    classed = nodes.join(roots, "node", "left").select("node", "doc_id", "copies", F.coalesce("root", "node").alias("root"))
     classed = materialise(classed, "near-classed")
     whole = classed.groupBy("root").agg(F.sum("copies").alias("class_docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("head"))
-    full = classed.join(whole, "root").select("node", F.coalesce("head.doc_id", "root").alias("class_id"), "class_docs", "n_links", "head")
+    full = classed.join(whole, "root").select("node", F.coalesce("head.doc_id", "root").alias("class_id"), "class_docs", "head")
     out = rows.select("doc_id", "node").join(full, "node")
-    return out.select("doc_id", "class_id", "class_docs", "n_links", (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("node") == F.col("head.node"))).alias("kept"), F.col("node").alias("text_hash"))
+    return out.select("doc_id", "class_id", "class_docs", (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("node") == F.col("head.node"))).alias("kept"), F.col("node").alias("text_hash"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

@@ -136,6 +136,34 @@ def test_forest_recall():
     assert found >= 57
 
 
+def test_forest_dense_group(spark):
+    # Each x is like the 1,500 near copies at 0.73 and like one of their kind, its own p, at 0.83.
+    word = lambda *k: hashlib.md5(repr(k).encode()).hexdigest()[:8]
+    base = [word(i) for i in range(200)]
+    x = [base[:174] + [word("x", k, i) for i in range(26)] for k in range(40)]
+    p = [base[:174] + x[k][174:182] + base[182:] for k in range(40)]
+    group = [[word("g", k, i) for i in range(4)] + base[4:] for k in range(1500)]
+    all_texts = [" ".join(t) for t in group + p + x]
+    got = {r.doc_id: r.class_id for r in simhash_forest.near_duplicates(spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(1540)) and sum(got[1540 + k] == 0 for k in range(40)) >= 37
+
+
+def test_forest_leaves_no_pair_out():
+    rng = np.random.default_rng(4)
+    depth, trees, n = 6, 5, 700
+    bits = np.where(rng.random((n, 128)) < 0.1, 1 - (seed := rng.integers(0, 2, 128)), seed).astype(np.uint8)
+    s, perms = simhash_forest._as_longs(bits), simhash_forest.permutations(trees)
+    label, size = np.where(np.arange(n) < 400, 7, np.where(np.arange(n) < 450, 9, 0)), rng.integers(80, 120, n)
+    key = np.concatenate([bits[:, q[:depth]].astype(np.int64) @ (1 << np.arange(depth - 1, -1, -1)) + (k << depth) for k, q in enumerate(perms)])
+    row = np.stack([key, *(np.tile(c, trees) for c in (s[:, 0].view(np.int64), s[:, 1].view(np.int64), np.arange(n), label, size))])
+    row = row[:, np.argsort(row[0], kind="stable")]
+    found = [tuple(sorted((row[3][a], row[3][b]))) for i, j in simhash_forest.apart(row, depth, simhash_forest.masks(perms, depth), 24, 0.8) for a, b in zip(i, j)]
+    far = (bits[:, None, :] != bits[None, :, :]).sum(2)
+    meet = sum((bits[:, None, q[:depth]] == bits[None, :, q[:depth]]).all(2) for q in perms) > 0
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if meet[i, j] and far[i, j] <= 24 and (label[i] != label[j] or label[i] == 0) and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 1000
+
+
 def test_imatch(docs, rows, empty):
     got = by_id(imatch.fingerprint(docs))
     order = sorted({(i if i is not None else -(2**63), t or "") for i, t, *_ in rows}, key=lambda x: -x[0])
