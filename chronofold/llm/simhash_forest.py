@@ -2,13 +2,13 @@
 
 A text's shingles are five consecutive lower-cased words (a text of fewer words is one shingle).  Its signature is
 a 128-bit SimHash of its distinct shingles.  Each tree of the forest orders the signatures by their bits in its
-own random permutation; two texts that share the first ``depth`` permuted bits meet in that tree.  The depth is the
-shortest prefix, and the number of trees the least, at which a pair at the similarity threshold meets in some tree
-with at least the target recall (:func:`plan_forest`); the depth grows with the logarithm of the number of texts,
-so a prefix holds a bounded number of unrelated texts.
+own random permutation; two texts that share the first ``depth`` permuted bits meet in that tree.
 
-Two passes.  The first looks for easy links: in its START trees each text of a prefix with more than ALL texts proposes
-its NEAREST nearest within BLOCK rows.  The second leaves nothing out: of all texts that share a prefix in any tree,
+Two passes.  The first starts deep and looks for easy links: in its START trees each text of a prefix with more than ALL
+texts proposes its NEAREST nearest within BLOCK rows.  The second climbs: each text's prefix is shortened to the depth
+at which, with so many trees, a pair at the similarity threshold becomes a candidate with at least the target recall
+(:func:`planned_recall`, exact for 128 shared bits); that depth grows with the logarithm of the number of texts, so a
+prefix holds a bounded number of unrelated texts.  It leaves nothing out: of all texts that share a prefix in any tree,
 every pair within the Hamming bound that the first pass has not yet put into one class is a candidate (a pair comes
 from the first tree in which it meets; pairs whose numbers of shingles alone rule the similarity out are dropped).
 So the classes are those of all pairs that meet, while a dense group that the first pass has joined costs no pairs.
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import WORD_BYTES, groups_of_texts, materialise, mix64, powers, prepare
 
 SHINGLE, SIMILARITY, RECALL, BITS = 5, 0.8, 0.99, 128
-ALL, NEAREST, BLOCK, CROWD, GROUP = 16, 4, 1024, 256, 512
-START = 24
+ALL, NEAREST, BLOCK, CROWD, GROUP = 16, 4, 1024, 4096, 512
+START, DEEP, LEAST = 24, 16, 12  # trees and least depth of the first pass, least depth of the second
 _BASE = 0x9E3779B97F4A7C15
 _CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _STEPS = mix64(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -51,17 +51,28 @@ def bit_agreement(similarity: float = SIMILARITY) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def plan_forest(texts: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """(depth, trees): at most CROWD unrelated texts a prefix, and the trees that the recall needs there."""
-    depth = max(16, math.ceil(math.log2(max(1, texts) / CROWD)))
-    return depth, math.ceil(math.log(1 - recall) / math.log(1 - bit_agreement(similarity) ** depth))
-
-
 def hamming_bound(similarity: float = SIMILARITY, bits: int = BITS, sigmas: float = 3.7) -> int:
     q = 1 - bit_agreement(similarity)
     return math.floor(bits * q + sigmas * math.sqrt(bits * q * (1 - q)))
 
 
+def planned_recall(depth: int, trees: int, similarity: float = SIMILARITY, bits: int = BITS) -> float:
+    """Chance that a pair of that similarity is a candidate: it differs in a binomial number d of bits, d is within the
+    bound, and some tree has none of them among its first depth ones.  All trees permute the same bits, so they are
+    independent only for a given d."""
+    q = 1 - bit_agreement(similarity)
+    return sum(math.comb(bits, d) * q**d * (1 - q) ** (bits - d) * (1 - (1 - math.comb(bits - d, depth) / math.comb(bits, depth)) ** trees) for d in range(hamming_bound(similarity, bits) + 1))
+
+
+def plan_forest(texts: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
+    """(depth, trees): about CROWD unrelated texts a prefix at most, and the trees that the recall needs there."""
+    depth = max(LEAST, math.ceil(math.log2(max(1, texts) / CROWD)))
+    trees = next((t for t in range(1, 2000) if planned_recall(depth, t, similarity) >= recall), None)
+    if trees is None:
+        raise ValueError(f"recall {recall} is out of reach at similarity {similarity}")
+    return depth, trees
+
+
 def _powers(n: int):
     if not _POWERS or len(_POWERS["forth"]) < n:
         size = max(n, 1 << 21)
@@ -382,7 +393,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 def near_candidates(nodes: DataFrame, similarity: float, n: int) -> DataFrame:
     """Pairs of the first pass: each text with its nearest."""
-    depth = max(16, math.ceil(math.log2(max(1, n) / CROWD)))
+    depth = max(DEEP, math.ceil(math.log2(max(1, n) / CROWD)) + DEEP - LEAST)
     rows = nodes.select("node", "s1", "s2").mapInArrow(_tree_rows(depth, START), "prefix long, p1 long, p2 long, node long")
     unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(2**63)).cast("long"))
     dealt = rows.repartition("prefix").sortWithinPartitions("prefix", unsigned("p1"), unsigned("p2"))

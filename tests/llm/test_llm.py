@@ -136,6 +136,25 @@ def test_forest_recall():
     assert found >= 57
 
 
+def test_forest_recall_at_the_threshold():
+    # Pairs of 90 shingles, 80 of them shared: a Jaccard similarity of exactly 0.8.
+    rng, n = random.Random(8), 1500
+    word = lambda: f"{rng.getrandbits(48):012x}"
+    pairs = []
+    for _ in range(n):
+        w = [word() for _ in range(94)]
+        pairs += [" ".join(w).encode(), " ".join(w[:84] + [word() for _ in range(10)]).encode()]
+    h, own = simhash_forest.shingle_sets(pairs[:2])
+    x, y = set(h[own == 0].tolist()), set(h[own == 1].tolist())
+    assert len(x & y) / len(x | y) == 0.8
+    depth, trees = simhash_forest.plan_forest(1000)
+    bits, _ = simhash_forest.signatures(pairs)
+    differ = bits[0::2] != bits[1::2]
+    met = np.any([~differ[:, p[:depth]].any(1) for p in simhash_forest.permutations(trees)], axis=0)
+    assert (met & (differ.sum(1) <= simhash_forest.hamming_bound())).mean() >= 0.983
+    assert simhash_forest.planned_recall(depth, trees) >= 0.99 > simhash_forest.planned_recall(depth, trees - 1)
+
+
 def test_forest_dense_group(spark):
     # Each x is like the 1,500 near copies at 0.73 and like one of their kind, its own p, at 0.83.
     word = lambda *k: hashlib.md5(repr(k).encode()).hexdigest()[:8]
