@@ -123,10 +123,9 @@ def fingerprint_pairs(texts: DataFrame, lex: DataFrame) -> DataFrame:
     own = texts.select("k1", "k2", term_hashes(F.col("text")).alias("t0"), term_hashes(F.col("edited")).alias("t1"), F.xxhash64("text", F.lit(3)).alias("w0"), F.xxhash64("edited", F.lit(3)).alias("w1"), F.sha2("edited", 256).alias("sha"))
     item = lambda e: lambda t: F.struct(F.lit(e).alias("e"), t.alias("t"), F.lit(None).cast("string").alias("sha"))
     last = F.array(F.struct(F.lit(2).alias("e"), F.lit(None).cast("long").alias("t"), F.col("sha").alias("sha")))
-    each = own.select("k1", "k2", "w0", "w1", F.size("t0").alias("n0"), F.size("t1").alias("n1"), F.explode(F.concat(F.transform("t0", item(0)), F.transform("t1", item(1)), last)).alias("x"))
-    each = each.select("k1", "k2", "w0", "w1", F.when(F.col("x.e") == 0, F.col("n0")).otherwise(F.col("n1")).alias("n"), "x.e", F.col("x.t").alias("term"), "x.sha")
+    each = own.select("k1", "k2", "w0", "w1", F.explode(F.concat(F.transform("t0", item(0)), F.transform("t1", item(1)), last)).alias("x"))
+    each = each.select("k1", "k2", "w0", "w1", "x.e", F.col("x.t").alias("term"), "x.sha")
     found = each.join(small_side(lex.select("term", F.lit(True).alias("in_band")), LEXICON_ROWS), "term", "left")
-    found = found.where(F.col("in_band") | (F.col("n") <= SMALL) | (F.col("e") == 2))
     lists = [F.collect_list(F.when((F.col("e") == e) & (F.col("in_band").isNotNull() if band else F.col("in_band").isNull()), F.col("term"))).alias(f"l{e}{band}") for e in (0, 1) for band in (0, 1)]
     kept = found.groupBy("k1", "k2").agg(*lists, F.max("w0").alias("w0"), F.max("w1").alias("w1"), F.max("sha").alias("sha"))
 

@@ -196,6 +196,15 @@ def test_imatch(docs, rows, empty):
     assert imatch.fingerprint(docs).count() == len(rows) and imatch.fingerprint(empty).count() == 0
 
 
+def test_imatch_group_outside_the_band(spark):
+    # Near copies of 120 words that are in every document, so in no band: all words are their terms.
+    rng = random.Random(6)
+    shared = [f"{rng.getrandbits(40):010x}" for _ in range(120)]
+    rows = [(i, " ".join([*shared, f"own{i}"])) for i in range(60)]
+    got = by_id(imatch.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert min(r.near_edited for r in got.values()) > 0.2 and min(r.near_next for r in got.values()) > 0.8
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
