@@ -1,13 +1,13 @@
 """SimHash near-dedup by an LSH forest.
 
 A text's shingles are five consecutive lower-cased words (a text of fewer words is one shingle).  Its signature is
-a 128-bit SimHash of its distinct shingles.  Each tree of the forest orders the signatures by their bits in its
+a 256-bit SimHash of its distinct shingles.  Each tree of the forest orders the signatures by their bits in its
 own random permutation; two texts that share the first ``depth`` permuted bits meet in that tree.
 
 Two passes.  The first starts deep and looks for easy links: in its START trees each text of a prefix with more than ALL
 texts proposes its NEAREST nearest within BLOCK rows.  The second climbs: each text's prefix is shortened to the depth
 at which, with so many trees, a pair at the similarity threshold becomes a candidate with at least the target recall
-(:func:`planned_recall`, exact for 128 shared bits); that depth grows with the logarithm of the number of texts, so a
+(:func:`planned_recall`, exact for 256 shared bits); that depth grows with the logarithm of the number of texts, so a
 prefix holds a bounded number of unrelated texts.  It leaves nothing out: of all texts that share a prefix in any tree,
 every pair within the Hamming bound that the first pass has not yet put into one class is a candidate (a pair comes
 from the first tree in which it meets; pairs whose numbers of shingles alone rule the similarity out are dropped).
@@ -17,7 +17,7 @@ alternating stars.  Links within a class are not counted, as not all of them are
 
 Equal texts are one node, so copies are never compared.  Verification places the shingles of a candidate's
 neighbourhood in one group of bounded size (a large neighbourhood is dealt to blocks), so each shingle set is
-moved a few times and not once a pair.  The second pass holds the rows of one prefix at a time (44 bytes a text);
+moved a few times and not once a pair.  The second pass holds the rows of one prefix at a time (64 bytes a text);
 links, classes and signatures stay distributed.
 
 Edge cases.  Null text: empty.  Texts without words (empty ones too) are in a class only with their equals.  A class
@@ -37,13 +37,16 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BYTES, groups_of_texts, materialise, mix64, powers, prepare
 
-SHINGLE, SIMILARITY, RECALL, BITS = 5, 0.8, 0.99, 128
-ALL, NEAREST, BLOCK, CROWD, GROUP = 16, 4, 1024, 4096, 512
-START, DEEP, LEAST = 24, 16, 12  # trees and least depth of the first pass, least depth of the second
+SHINGLE, SIMILARITY, RECALL, BITS = 5, 0.8, 0.99, 256
+WORDS = BITS // 64
+ALL, NEAREST, BLOCK, CROWD, GROUP = 16, 4, 1024, 1024, 512
+START, DEEP, LEAST = 12, 16, 10  # trees and least depth of the first pass, least depth of the second
 _BASE = 0x9E3779B97F4A7C15
 _CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _STEPS = mix64(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 _POWERS: dict = {}
+#: The bits of a byte, the highest first, as eight counters in a long (as it lies in memory).
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 def bit_agreement(similarity: float = SIMILARITY) -> float:
@@ -51,7 +54,7 @@ def bit_agreement(similarity: float = SIMILARITY) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def hamming_bound(similarity: float = SIMILARITY, bits: int = BITS, sigmas: float = 3.7) -> int:
+def hamming_bound(similarity: float = SIMILARITY, bits: int = BITS, sigmas: float = 3.2) -> int:
     q = 1 - bit_agreement(similarity)
     return math.floor(bits * q + sigmas * math.sqrt(bits * q * (1 - q)))
 
@@ -114,22 +117,38 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bits (texts, 128) of 0 and 1, number of shingles)"""
+    """(bits (texts, BITS) of 0 and 1, number of shingles)
+
+    Votes are counted eight bits at a time: each byte of a shingle's hash adds to eight counters in one long, over runs
+    of at most 255 shingles of a text; a run's sum is a difference of running sums modulo 2^64.
+    """
     h, own = shingle_sets(texts)
     count = np.bincount(own, minlength=len(texts))
     out = np.zeros((len(texts), BITS), np.uint8)
     if len(h):
         some = np.flatnonzero(count)
-        at = (np.cumsum(count) - count)[some]
+        runs = -(-count[some] // 255)
+        of = np.repeat(np.arange(len(some)), runs)
+        within = np.arange(len(of)) - (np.cumsum(runs) - runs)[of]
+        begin = (np.cumsum(count) - count)[some]
+        start = begin[of] + within * 255
+        stop = np.minimum(start + 255, (begin + count[some])[of])
+        votes = np.empty((len(of), BITS), np.uint8)
+        sums = np.zeros(len(h) + 1, np.uint64)
+        for k in range(WORDS):
+            octets = mix64(h ^ mix64(np.full(1, 0xA5A5A5A5 + k, np.uint64))).view(np.uint8).reshape(-1, 8)
+            for j in range(8):
+                np.cumsum(_LANES[octets[:, j]], out=sums[1:])
+                at = k * 64 + j * 8
+                votes[:, at : at + 8] = (sums[stop] - sums[start]).view(np.uint8).reshape(-1, 8)
+        total = np.add.reduceat(votes, np.cumsum(runs) - runs, axis=0, dtype=np.int32) * 2
         odd = np.arange(BITS) % 2  # ties go up at odd bits
-        bits = np.unpackbits(np.stack((h, mix64(h ^ np.uint64(0xA5A5A5A5A5A5A5A5))), axis=1).view(np.uint8).reshape(len(h), 16), axis=1)
-        votes = np.add.reduceat(bits, at, axis=0, dtype=np.int32) * 2
-        out[some] = votes + odd > count[some][:, None]
+        out[some] = total + odd > count[some][:, None]
     return out, count
 
 
 def _as_longs(bits: np.ndarray) -> np.ndarray:
-    """(n, 128) bits to (n, 2) unsigned, the first bit highest."""
+    """(n, BITS) bits to (n, WORDS) unsigned, the first bit highest."""
     return np.ascontiguousarray(np.packbits(bits, axis=1)).view(">u8").astype(np.uint64)
 
 
@@ -145,37 +164,54 @@ def _sign_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits, count = signatures(texts[a:b])
             s = _as_longs(bits).view(np.int64)
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(count.astype(np.int64))], names=["doc_id", "node", "s1", "s2", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), *map(pa.array, s.T.copy()), pa.array(count.astype(np.int64))], names=["doc_id", "node", *SIGNATURE, "shingles"])
             a = b
 
 
+#: The columns of a signature.
+SIGNATURE = tuple(f"s{k + 1}" for k in range(WORDS))
+_TYPES = ", ".join(f"{c} long" for c in SIGNATURE)
+
+
 def permutations(trees: int, seed: int = 9) -> np.ndarray:
     rng = np.random.default_rng(seed)
     return np.stack([rng.permutation(BITS) for _ in range(trees)])
 
 
-def _tree_rows(depth: int, trees: int):
+def _bits_of(batch: pa.RecordBatch) -> np.ndarray:
+    sig = np.stack([batch.column(c).to_numpy() for c in SIGNATURE], axis=1).view(np.uint64).astype(">u8")
+    return np.unpackbits(np.ascontiguousarray(sig).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+
+
+def _keys(bits: np.ndarray, perm: np.ndarray, depth: int, tree: int) -> np.ndarray:
+    """The first depth bits of a tree, behind its number."""
+    return bits[:, perm[:depth]].astype(np.int64) @ (1 << np.arange(depth - 1, -1, -1, dtype=np.int64)) + (tree << depth)
+
+
+def _tree_rows(depth: int, trees: int, carry: tuple[str, ...] = ("node",)):
     perms = permutations(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column("node").to_numpy()
-            sig = np.stack([batch.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64).astype(">u8")
-            bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 16), axis=1)
+            bits = _bits_of(batch)
             for k, perm in enumerate(perms):
-                p = _as_longs(bits[:, perm])
-                key = (p[:, 0] >> np.uint64(64 - depth)).astype(np.int64) + (k << depth)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(p[:, 0].view(np.int64)), pa.array(p[:, 1].view(np.int64)), pa.array(node)], names=["prefix", "p1", "p2", "node"])
+                # The next bits of the tree order the rows of a prefix.
+                after = (bits[:, perm[depth : depth + 62]].astype(np.int64) << np.arange(61, -1, -1, dtype=np.int64)).sum(axis=1) if carry == ("node",) else None
+                columns = [pa.array(_keys(bits, perm, depth, k)), *([pa.array(after)] if after is not None else []), *(batch.column(c) for c in (*SIGNATURE, *carry))]
+                yield pa.RecordBatch.from_arrays(columns, names=["prefix", *(["after"] if after is not None else []), *SIGNATURE, *carry])
 
     return run
 
 
 def _distance(p: np.ndarray, i, j) -> np.ndarray:
-    return np.bitwise_count(p[0][i] ^ p[0][j]) + np.bitwise_count(p[1][i] ^ p[1][j])
+    d = np.bitwise_count(p[0][i] ^ p[0][j]).astype(np.uint16)
+    for row in p[1:]:
+        d += np.bitwise_count(row[i] ^ row[j])
+    return d
 
 
 def meet(prefix: np.ndarray, p: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of rows sorted by prefix and signature; p: (2, n) permuted signatures."""
+    """Candidate pairs of rows sorted by prefix and signature; p: (WORDS, n) signatures."""
     edge = np.flatnonzero(np.diff(prefix)) + 1
     start, stop = np.concatenate(([0], edge)), np.concatenate((edge, [len(prefix)]))
     size = stop - start
@@ -192,7 +228,7 @@ def meet(prefix: np.ndarray, p: np.ndarray, bound: int) -> tuple[np.ndarray, np.
         for a in range(s, e, BLOCK // 2):
             b = min(a + BLOCK, e)
             d = _distance(p, np.arange(a, b)[:, None], np.arange(a, b)[None, :])
-            np.fill_diagonal(d, 255)
+            np.fill_diagonal(d, 2 * BITS)
             k = min(NEAREST, b - a - 1)
             near = np.argpartition(d, k - 1, axis=1)[:, :k]
             i = np.repeat(np.arange(b - a), k)
@@ -207,15 +243,15 @@ def meet(prefix: np.ndarray, p: np.ndarray, bound: int) -> tuple[np.ndarray, np.
 
 def _meet_rows(bound: int):
     def pairs(rows: np.ndarray) -> pa.RecordBatch:
-        i, j = meet(rows[0], rows[1:3].view(np.uint64), bound)
-        a, b = np.minimum(rows[3][i], rows[3][j]), np.maximum(rows[3][i], rows[3][j])
+        i, j = meet(rows[0], rows[1:-1].view(np.uint64), bound)
+        a, b = np.minimum(rows[-1][i], rows[-1][j]), np.maximum(rows[-1][i], rows[-1][j])
         ab = np.unique(np.stack((a, b), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ab[:, 0])), pa.array(np.ascontiguousarray(ab[:, 1]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            held.append(np.stack([batch.column(c).to_numpy() for c in ("prefix", "p1", "p2", "node")]))
+            held.append(np.stack([batch.column(c).to_numpy() for c in ("prefix", *SIGNATURE, "node")]))
             n += held[-1].shape[1]
             if n >= 1 << 17:
                 rows = np.concatenate(held, axis=1)
@@ -233,30 +269,16 @@ def _meet_rows(bound: int):
 
 
 def masks(perms: np.ndarray, depth: int) -> np.ndarray:
-    """(trees, 2) unsigned: the signature bits that are the first depth ones of each tree."""
+    """(trees, WORDS) unsigned: the signature bits that are the first depth ones of each tree."""
     bits = np.zeros((len(perms), BITS), np.uint8)
     np.put_along_axis(bits, perms[:, :depth], 1, axis=1)
     return _as_longs(bits)
 
 
-def _climb_rows(depth: int, trees: int):
-    perms = permutations(trees)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig = np.stack([batch.column(c).to_numpy() for c in ("s1", "s2")], axis=1).view(np.uint64).astype(">u8")
-            bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8).reshape(-1, 16), axis=1)
-            for k, perm in enumerate(perms):
-                key = bits[:, perm[:depth]].astype(np.int64) @ (1 << np.arange(depth - 1, -1, -1, dtype=np.int64)) + (k << depth)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c) for c in ("s1", "s2", "node", "label", "shingles"))], names=["prefix", "s1", "s2", "node", "label", "shingles"])
-
-    return run
-
-
 def apart(rows: np.ndarray, depth: int, seen: np.ndarray, bound: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All candidate pairs of rows (prefix, s1, s2, node, label, shingles; sorted by prefix) that share a prefix, are within the
+    """All candidate pairs of rows (prefix, the signature's columns, node, label, shingles; sorted by prefix) that share a prefix, are within the
     bound and not of one label (0: none yet), each pair in the first tree in which it meets; seen: masks of the trees."""
-    prefix, s, label, size = rows[0], rows[1:3].view(np.uint64), rows[4], rows[5]
+    prefix, s, label, size = rows[0], rows[1 : 1 + WORDS].view(np.uint64), rows[2 + WORDS], rows[3 + WORDS]
 
     def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = ((label[i] != label[j]) | (label[i] == 0)) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
@@ -265,7 +287,10 @@ def apart(rows: np.ndarray, depth: int, seen: np.ndarray, bound: int, similarity
             x, tree = s[:, i] ^ s[:, j], prefix[i] >> depth
             met = np.zeros(len(i), bool)
             for t in range(int(tree.max())):
-                met |= (t < tree) & (x[0] & seen[t, 0] == 0) & (x[1] & seen[t, 1] == 0)
+                same = t < tree
+                for k in range(WORDS):
+                    same &= x[k] & seen[t, k] == 0
+                met |= same
             i, j = i[~met], j[~met]
         return i, j
 
@@ -294,12 +319,12 @@ def apart(rows: np.ndarray, depth: int, seen: np.ndarray, bound: int, similarity
 
 
 def _apart_rows(depth: int, trees: int, bound: int, similarity: float):
-    names, seen = ("prefix", "s1", "s2", "node", "label", "shingles"), masks(permutations(trees), depth)
+    names, seen = ("prefix", *SIGNATURE, "node", "label", "shingles"), masks(permutations(trees), depth)
 
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i, j in apart(rows, depth, seen, bound, similarity):
             if len(i):
-                a, b = rows[3][i], rows[3][j]
+                a, b = rows[1 + WORDS][i], rows[1 + WORDS][j]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,6 +402,8 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"classes did not settle in {rounds} rounds")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
@@ -388,23 +415,22 @@ def node_of(text) -> "F.Column":
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, node, s1, s2, shingles) of each row: hash of the text, signature, number of shingles."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(F.col("text")).alias("node"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return base.mapInArrow(_sign_rows, "doc_id long, node long, s1 long, s2 long, shingles long")
+    return base.mapInArrow(_sign_rows, f"doc_id long, node long, {_TYPES}, shingles long")
 
 
 def near_candidates(nodes: DataFrame, similarity: float, n: int) -> DataFrame:
     """Pairs of the first pass: each text with its nearest."""
     depth = max(DEEP, math.ceil(math.log2(max(1, n) / CROWD)) + DEEP - LEAST)
-    rows = nodes.select("node", "s1", "s2").mapInArrow(_tree_rows(depth, START), "prefix long, p1 long, p2 long, node long")
-    unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(2**63)).cast("long"))
-    dealt = rows.repartition("prefix").sortWithinPartitions("prefix", unsigned("p1"), unsigned("p2"))
+    rows = nodes.select("node", *SIGNATURE).mapInArrow(_tree_rows(depth, START), f"prefix long, after long, {_TYPES}, node long")
+    dealt = rows.repartition("prefix").sortWithinPartitions("prefix", "after")
     return dealt.mapInArrow(_meet_rows(hamming_bound(similarity)), "a long, b long").distinct()
 
 
 def other_candidates(nodes: DataFrame, roots: DataFrame, similarity: float, recall: float, n: int) -> DataFrame:
     """Pairs of the second pass: all that meet and are not of one class yet; roots: (node, root) of the first pass."""
     depth, trees = plan_forest(n, similarity, recall)
-    labelled = nodes.join(roots, "node", "left").select("s1", "s2", "node", F.coalesce("root", F.lit(0).cast("long")).alias("label"), "shingles")
-    rows = labelled.mapInArrow(_climb_rows(depth, trees), "prefix long, s1 long, s2 long, node long, label long, shingles long")
+    labelled = nodes.join(roots, "node", "left").select(*SIGNATURE, "node", F.coalesce("root", F.lit(0).cast("long")).alias("label"), "shingles")
+    rows = labelled.mapInArrow(_tree_rows(depth, trees, ("node", "label", "shingles")), f"prefix long, {_TYPES}, node long, label long, shingles long")
     dealt = rows.repartition("prefix").sortWithinPartitions("prefix")
     return dealt.mapInArrow(_apart_rows(depth, trees, hamming_bound(similarity), similarity), "a long, b long")
 
@@ -435,7 +461,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     (equal for equal texts), per row of docs."""
     prepare(docs.sparkSession)
     rows = materialise(signed(docs), "near-signed")
-    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("shingles").alias("shingles")), "near-nodes")
+    nodes = materialise(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in SIGNATURE), F.first("shingles").alias("shingles")), "near-nodes")
     worded = nodes.where("shingles > 0")
     n = worded.count()
     easy = materialise(near_candidates(worded, similarity, n), "near-pairs")

@@ -155,6 +155,18 @@ def test_forest_recall_at_the_threshold():
     assert simhash_forest.planned_recall(depth, trees) >= 0.99 > simhash_forest.planned_recall(depth, trees - 1)
 
 
+def test_signatures_count_all_votes():
+    rng = random.Random(2)
+    texts = [b"", b"one", " ".join(str(rng.random()) for _ in range(900)).encode(), b"a b c d e f"]
+    bits, count = simhash_forest.signatures(texts)
+    h, own = simhash_forest.shingle_sets(texts)
+    for k in range(len(texts)):
+        rows = [simhash_forest.mix64(h[own == k] ^ simhash_forest.mix64(np.full(1, 0xA5A5A5A5 + w, np.uint64))).view(np.uint8).reshape(-1, 8) for w in range(simhash_forest.WORDS)]
+        votes = np.concatenate([np.unpackbits(r, axis=1).astype(int).sum(axis=0) for r in rows]) if count[k] else np.zeros(simhash_forest.BITS)
+        want = votes * 2 + np.arange(simhash_forest.BITS) % 2 > count[k] if count[k] else votes
+        assert count[k] == (own == k).sum() and (bits[k] == want).all()
+
+
 def test_forest_dense_group(spark):
     # Each x is like the 1,500 near copies at 0.73 and like one of their kind, its own p, at 0.83.
     word = lambda *k: hashlib.md5(repr(k).encode()).hexdigest()[:8]
@@ -170,16 +182,18 @@ def test_forest_dense_group(spark):
 def test_forest_leaves_no_pair_out():
     rng = np.random.default_rng(4)
     depth, trees, n = 6, 5, 700
-    bits = np.where(rng.random((n, 128)) < 0.1, 1 - (seed := rng.integers(0, 2, 128)), seed).astype(np.uint8)
+    many = simhash_forest.BITS
+    bits = np.where(rng.random((n, many)) < 0.1, 1 - (seed := rng.integers(0, 2, many)), seed).astype(np.uint8)
     s, perms = simhash_forest._as_longs(bits), simhash_forest.permutations(trees)
     label, size = np.where(np.arange(n) < 400, 7, np.where(np.arange(n) < 450, 9, 0)), rng.integers(80, 120, n)
     key = np.concatenate([bits[:, q[:depth]].astype(np.int64) @ (1 << np.arange(depth - 1, -1, -1)) + (k << depth) for k, q in enumerate(perms)])
-    row = np.stack([key, *(np.tile(c, trees) for c in (s[:, 0].view(np.int64), s[:, 1].view(np.int64), np.arange(n), label, size))])
+    row = np.stack([key, *(np.tile(c, trees) for c in (*s.view(np.int64).T, np.arange(n), label, size))])
     row = row[:, np.argsort(row[0], kind="stable")]
-    found = [tuple(sorted((row[3][a], row[3][b]))) for i, j in simhash_forest.apart(row, depth, simhash_forest.masks(perms, depth), 24, 0.8) for a, b in zip(i, j)]
+    at = 1 + simhash_forest.WORDS
+    found = [tuple(sorted((row[at][a], row[at][b]))) for i, j in simhash_forest.apart(row, depth, simhash_forest.masks(perms, depth), 48, 0.8) for a, b in zip(i, j)]
     far = (bits[:, None, :] != bits[None, :, :]).sum(2)
     meet = sum((bits[:, None, q[:depth]] == bits[None, :, q[:depth]]).all(2) for q in perms) > 0
-    want = {(i, j) for i in range(n) for j in range(i + 1, n) if meet[i, j] and far[i, j] <= 24 and (label[i] != label[j] or label[i] == 0) and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if meet[i, j] and far[i, j] <= 48 and (label[i] != label[j] or label[i] == 0) and min(size[i], size[j]) >= 0.8 * max(size[i], size[j])}
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 1000
 
 
