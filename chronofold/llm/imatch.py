@@ -1,11 +1,13 @@
 """Document fingerprints [native]: I-Match over randomised lexicon subsets.
 
 Terms are a text's distinct lower-cased words, as 64-bit hashes.  The lexicon is the terms within a band of
-inverse document frequency: those held by MIN_SHARE to MAX_SHARE of all documents (idf 3 to 8).  A text keeps
-its terms that are in the lexicon, sorted; each of the fixed random subsets of the lexicon (a term is in a
-subset if some of its hash bits have given values: all, 1/4, 1/16, 1/64 or 1/256 of the terms are) hashes the
-kept terms that it holds, and the fingerprint is the list of these hashes; rates that would put more than a dozen
-terms into each subset are left out for long texts.  Equal texts have equal fingerprints.
+inverse document frequency: those held by MIN_SHARE to MAX_SHARE of all documents (idf 3 to 8).  A text keeps its
+terms that are in the lexicon.  The lexicon is dealt to SUBSETS random subsets at each of the RATES: at a rate of
+1 / 2^b a term lies in one of 2^b cells by b of its hash bits, and a subset is a cell (at the first two rates, cells
+of several independent deals).  The fingerprint is a 64-bit hash of all kept terms and a 15-bit hash of those in each
+subset, for every text and every rate.  A set's hash is the exclusive or of its terms' hashes: distinct terms in any
+order give what hashing their sorted list gives, without a sort, and a term adds to all of its subsets in one
+aggregation (four subsets to a long).  0 is the hash of no terms.  Equal texts have equal fingerprints.
 
 The likeness of two fingerprints is the share of equal hashes among the subsets that are not empty for both, at
 the rate where that share is largest, counting only rates with MIN_FILLED such subsets; texts with very few terms
@@ -17,45 +19,38 @@ Size: terms held by at least MIN_SHARE of N documents number at most (mean disti
 MIN_SHARE, whatever N is; that table is broadcast if it is no more than LEXICON_ROWS rows, else joined.
 
 Only DataFrame functions are used.  Shuffles: term counts (pre-aggregated), each text once, the text given to
-its predecessor (at most a third), and one row of kept terms a text.
+its predecessor (at most a third), and one fingerprint a text.
 
 Edge cases.  Null text: empty.  The next document is the next distinct (doc_id, text) in descending doc_id,
 null ids last, ties by a hash of the text; repeated rows share one result and keep a row each.  A table of one
-document is its own next.  Empty table: no rows.  Other columns are dropped.
+document is its own next.  Empty table: no rows.  Ids are cast to long (text that is no number fails).  Other columns are dropped.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, prepare, small_side
 
 MIN_SHARE, MAX_SHARE, LEXICON_ROWS = 0.0004, 0.05, 2_000_000
-BITS, SUBSETS = (2, 4, 6, 8), 24
-MIN_TERMS, MIN_FILLED, SMALL = 4, 6, 48
-EMPTY, OVER = "002A", "----"  # the hash of no terms; a subset of a text with too many terms for its rate
-
-
-def patterns(seed: int = 5) -> list[tuple[int, tuple[int, int], list[tuple[int, int]], int | None]]:
-    """For each rate: hash bits that are looked at, the (mask, value) that all its subsets share, those of each subset,
-    and the most terms that a text may have for it (None: any number)."""
-    rng, out = random.Random(seed), []
-
-    def some(at: list[int]) -> tuple[int, int]:
-        return sum(1 << b for b in at), sum(1 << b for b in at if rng.random() < 0.5)
-
-    for bits in BITS:
-        shared = rng.sample(range(63), max(0, bits - 4))
-        free = [b for b in range(63) if b not in shared]
-        subsets = [some(rng.sample(free, bits - len(shared))) for _ in range(SUBSETS)]
-        out.append((bits, some(shared), subsets, SMALL << (bits - 2) if bits < max(BITS) else None))
+RATES, SUBSETS = (2, 4, 6, 8, 10, 12), 24  # bits that choose a cell
+MIN_TERMS, MIN_FILLED = 4, 6
+LONGS = SUBSETS // 4  # of four subsets each, a rate
+
+
+def plan() -> list[tuple[int, int, int]]:
+    """For each long of a fingerprint: the first hash bit that chooses the cell, how many do, and the first of its four cells."""
+    out, bit = [], 0
+    for bits in RATES:
+        deals = {2: 6, 4: 2}.get(bits, 1)
+        for deal in range(deals):
+            out += [(bit + deal * bits, bits, 4 * k) for k in range(LONGS // deals)]
+        bit += deals * bits
     return out
 
 
-PATTERNS = patterns()
+PLAN = plan()
 
 
 def term_hashes(text: Column) -> Column:
@@ -75,65 +70,72 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _hash(terms: Column) -> Column:
-    return F.substring(F.lpad(F.hex(F.xxhash64(terms)), 16, "0"), 13, 4)
+def _mixed(term: Column) -> Column:
+    return F.xxhash64(term)
 
 
-def fingerprint_of(terms: Column) -> Column:
-    """Hash of all sorted terms, then of each subset's share of them, four hexadecimal digits each."""
+def set_hash(term: Column) -> Column:
+    """What a term adds to the hash of all terms."""
+    return F.xxhash64(_mixed(term))
 
-    def level(ts: Column, shared: tuple[int, int], subsets: list[tuple[int, int]], most: int | None) -> Column:
-        each = F.array([F.struct(F.lit(m).cast("long").alias("m"), F.lit(v).cast("long").alias("v")) for m, v in subsets])
-        base = F.filter(ts, lambda t: t.bitwiseAND(F.lit(shared[0]).cast("long")) == F.lit(shared[1]).cast("long")) if shared[0] else ts
-        out = _once(base, lambda bs: F.array_join(F.transform(each, lambda p: _hash(F.filter(bs, lambda t: t.bitwiseAND(p["m"]) == p["v"]))), ""))
-        return out if most is None else F.when(F.size(ts) > most, OVER * len(subsets)).otherwise(out)
 
-    return _once(terms, lambda ts: F.concat(_hash(ts), *(level(ts, *x[1:]) for x in PATTERNS)))
+def lanes(term: Column) -> list[Column]:
+    """What a term adds to each long: 15 bits of its hash, never 0, in the place of the cell that it lies in."""
+    g = _mixed(term)
+    value = F.shiftright(F.xxhash64(g), 40).bitwiseAND(F.lit(0x7FFE)) + F.lit(1).cast("long")
+    out = []
+    for first, bits, cell in PLAN:
+        at = F.shiftrightunsigned(g, first).bitwiseAND(F.lit((1 << bits) - 1)) - cell
+        out.append(F.when(at.between(0, 3), F.call_function("shiftleft", value, (at * 16).cast("int"))).otherwise(F.lit(0).cast("long")))
+    return out
 
 
-def _parts(fp: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS * len(BITS))), lambda i: F.substring(fp, i * 4 + 1, F.lit(4)))
+def _places(w: Column) -> Column:
+    """How many of the four places of a long are not 0."""
+    for k in (8, 4, 2, 1):
+        w = w.bitwiseOR(F.shiftrightunsigned(w, k))
+    return F.bit_count(w.bitwiseAND(F.lit(0x0001000100010001))).cast("int")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints, from 0 to 1."""
-    pairs = F.zip_with(_parts(a), _parts(b), lambda x, y: F.when(((x == EMPTY) & (y == EMPTY)) | (x == OVER) | (y == OVER), F.lit(None)).otherwise(F.when(x == y, 1).otherwise(0)))
+    """Likeness of two fingerprints (arrays of longs), from 0 to 1."""
+    counts = F.zip_with(F.slice(a, 2, len(PLAN)), F.slice(b, 2, len(PLAN)), lambda x, y: F.struct(_places(x.bitwiseOR(y)).alias("filled"), _places(x.bitwiseXOR(y)).alias("differ")))
+
+    def total(part: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("filled"), F.lit(0).alias("differ"))
+        return F.aggregate(part, zero, lambda s, x: F.struct((s["filled"] + x["filled"]).alias("filled"), (s["differ"] + x["differ"]).alias("differ")))
+
+    def share(t: Column, least: int) -> Column:
+        return _once(t, lambda x: F.when(x["filled"] >= least, (x["filled"] - x["differ"]).cast("double") / x["filled"]))
 
-    def best(found: Column) -> Column:
-        levels = []
-        for k in range(len(BITS)):
-            part = F.filter(F.slice(found, 2 + k * SUBSETS, SUBSETS), lambda x: x.isNotNull())
-            levels.append(_once(part, lambda p: F.when(F.size(p) >= MIN_FILLED, _mean(p))))
-        filled = F.filter(found, lambda x: x.isNotNull())
-        return F.coalesce(F.greatest(*levels), _once(filled, lambda p: F.when(F.size(p) > 0, _mean(p))), F.lit(0.0))
+    def best(c: Column) -> Column:
+        return F.coalesce(F.greatest(*(share(total(F.slice(c, 1 + k * LONGS, LONGS)), MIN_FILLED) for k in range(len(RATES)))), share(total(c), 1), F.lit(0.0))
 
-    return F.when(a == b, 1.0).otherwise(_once(pairs, best))
+    return F.when(a == b, 1.0).otherwise(_once(counts, best))
 
 
-def _mean(flags: Column) -> Column:
-    return F.aggregate(flags, F.lit(0), lambda s, x: s + x).cast("double") / F.size(flags)
+def as_text(fp: Column) -> Column:
+    return F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
 def fingerprint_pairs(texts: DataFrame, lex: DataFrame) -> DataFrame:
     """(k1, k2, fa, fe, sha): fingerprints of text and edited, and the checksum of edited; one row a key.
 
-    The terms are exploded, looked up and gathered again where the texts lie: no shuffle if the lexicon is
-    broadcast.  A row without a term keeps texts that have none.
+    The terms are exploded, looked up and added up again where the texts lie: no shuffle if the lexicon is broadcast.
     """
-    own = texts.select("k1", "k2", term_hashes(F.col("text")).alias("t0"), term_hashes(F.col("edited")).alias("t1"), F.xxhash64("text", F.lit(3)).alias("w0"), F.xxhash64("edited", F.lit(3)).alias("w1"), F.sha2("edited", 256).alias("sha"))
-    item = lambda e: lambda t: F.struct(F.lit(e).alias("e"), t.alias("t"), F.lit(None).cast("string").alias("sha"))
-    last = F.array(F.struct(F.lit(2).alias("e"), F.lit(None).cast("long").alias("t"), F.col("sha").alias("sha")))
-    each = own.select("k1", "k2", "w0", "w1", F.explode(F.concat(F.transform("t0", item(0)), F.transform("t1", item(1)), last)).alias("x"))
-    each = each.select("k1", "k2", "w0", "w1", "x.e", F.col("x.t").alias("term"), "x.sha")
+    side = lambda e, text, sha: F.struct(F.lit(e).alias("e"), term_hashes(F.col(text)).alias("ts"), F.xxhash64(text, F.lit(3)).alias("w"), sha.alias("sha"))
+    both = texts.select("k1", "k2", F.explode(F.array(side(0, "text", F.lit(None).cast("string")), side(1, "edited", F.sha2("edited", 256)))).alias("x"))
+    each = both.select("k1", "k2", "x.e", "x.w", "x.sha", F.explode_outer("x.ts").alias("term"))
     found = each.join(small_side(lex.select("term", F.lit(True).alias("in_band")), LEXICON_ROWS), "term", "left")
-    lists = [F.collect_list(F.when((F.col("e") == e) & (F.col("in_band").isNotNull() if band else F.col("in_band").isNull()), F.col("term"))).alias(f"l{e}{band}") for e in (0, 1) for band in (0, 1)]
-    kept = found.groupBy("k1", "k2").agg(*lists, F.max("w0").alias("w0"), F.max("w1").alias("w1"), F.max("sha").alias("sha"))
-
-    def terms(e: int) -> Column:
-        band, every = F.col(f"l{e}1"), F.concat(f"l{e}0", f"l{e}1")
-        return F.array_sort(F.when(F.size(band) >= MIN_TERMS, band).when(F.size(every) > 0, every).otherwise(F.array(F.col(f"w{e}"))))
-
-    return kept.select("k1", "k2", "sha", terms(0).alias("ta"), terms(1).alias("te")).select("k1", "k2", "sha", fingerprint_of(F.col("ta")).alias("fa"), fingerprint_of(F.col("te")).alias("fe"))
+    names = [f"v{k}" for k in range(len(PLAN) + 1)]
+    added = found.select("k1", "k2", "e", "w", "sha", "term", "in_band", *(v.alias(n) for n, v in zip(names, [set_hash(F.col("term")), *lanes(F.col("term"))], strict=True)))
+    sums = [F.bit_xor(F.when(F.col("term").isNotNull(), F.col(n))).alias(f"all_{n}") for n in names] + [F.bit_xor(F.when(F.col("in_band"), F.col(n))).alias(f"band_{n}") for n in names]
+    kept = added.groupBy("k1", "k2", "e").agg(*sums, F.count("term").alias("terms"), F.count("in_band").alias("band"), F.max("w").alias("w"), F.max("sha").alias("sha"))
+    whole = [set_hash(F.col("w")), *lanes(F.col("w"))]
+    pick = F.when(F.col("band") >= MIN_TERMS, F.array(*(f"band_{n}" for n in names))).when(F.col("terms") > 0, F.array(*(f"all_{n}" for n in names))).otherwise(F.array(*whole))
+    fp = kept.select("k1", "k2", "e", "sha", pick.alias("fp"))
+    of = lambda e: F.max(F.when(F.col("e") == e, F.col("fp")))
+    return fp.groupBy("k1", "k2").agg(F.max("sha").alias("sha"), of(0).alias("fa"), of(1).alias("fe"))
 
 
 def next_rows(rows: DataFrame) -> DataFrame:
@@ -176,4 +178,4 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     x = order.join(fp, ["k1", "k2"]).join(after, ["next1", "next2"])
     x = x.withColumn("near_edited", likeness(F.col("fa"), F.col("fe"))).withColumn("near_next", likeness(F.col("fa"), F.col("fn")))
     x = x.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return x.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), F.col("fa").alias("fingerprint"), F.col("fe").alias("edited_fingerprint"), "near_edited", "near_next")
+    return x.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), as_text(F.col("fa")).alias("fingerprint"), as_text(F.col("fe")).alias("edited_fingerprint"), "near_edited", "near_next")
