@@ -2,12 +2,13 @@
 
 Terms are a text's distinct lower-cased words, as 64-bit hashes.  The lexicon is the terms within a band of
 inverse document frequency: those held by MIN_SHARE to MAX_SHARE of all documents (idf 3 to 8).  A text keeps its
-terms that are in the lexicon.  The lexicon is dealt to SUBSETS random subsets at each of the RATES: at a rate of
-1 / 2^b a term lies in one of 2^b cells by b of its hash bits, and a subset is a cell (at the first two rates, cells
-of several independent deals).  The fingerprint is a 64-bit hash of all kept terms and a 15-bit hash of those in each
-subset, for every text and every rate.  A set's hash is the exclusive or of its terms' hashes: distinct terms in any
-order give what hashing their sorted list gives, without a sort, and a term adds to all of its subsets in one
-aggregation (four subsets to a long).  0 is the hash of no terms.  Equal texts have equal fingerprints.
+terms that are in the lexicon.  The lexicon is dealt to CELLS random cells by a hash of the term.  A subset is six cells
+in a row (a quarter of the lexicon; there are CELLS such rows), one cell, or one cell's terms of which further hash bits
+are 0 (a quarter of it for each two bits, LEVELS in all, down to 1/6144 of the lexicon).  The fingerprint is a 64-bit
+hash of all kept terms and a 15-bit hash of those in each of the CELLS subsets of each rate, for every text.
+A set's hash is the exclusive or of its terms' hashes: distinct terms in any order give what hashing their sorted list
+gives, without a sort, and one aggregation by cell serves all subsets.  0 is the hash of no terms.  Equal texts have
+equal fingerprints.
 
 The likeness of two fingerprints is the share of equal hashes among the subsets that are not empty for both, at
 the rate where that share is largest, counting only rates with MIN_FILLED such subsets; texts with very few terms
@@ -34,23 +35,9 @@ from pyspark.sql import functions as F
 from .common import materialise, prepare, small_side
 
 MIN_SHARE, MAX_SHARE, LEXICON_ROWS = 0.0004, 0.05, 2_000_000
-RATES, SUBSETS = (2, 4, 6, 8, 10, 12), 24  # bits that choose a cell
+CELLS, LEVELS, ROW = 24, 5, 6  # a level keeps a quarter of the one before
+RATES = LEVELS + 1
 MIN_TERMS, MIN_FILLED = 4, 6
-LONGS = SUBSETS // 4  # of four subsets each, a rate
-
-
-def plan() -> list[tuple[int, int, int]]:
-    """For each long of a fingerprint: the first hash bit that chooses the cell, how many do, and the first of its four cells."""
-    out, bit = [], 0
-    for bits in RATES:
-        deals = {2: 6, 4: 2}.get(bits, 1)
-        for deal in range(deals):
-            out += [(bit + deal * bits, bits, 4 * k) for k in range(LONGS // deals)]
-        bit += deals * bits
-    return out
-
-
-PLAN = plan()
 
 
 def term_hashes(text: Column) -> Column:
@@ -75,65 +62,83 @@ def _mixed(term: Column) -> Column:
 
 
 def set_hash(term: Column) -> Column:
-    """What a term adds to the hash of all terms."""
+    """What a term adds to the hash of a set."""
     return F.xxhash64(_mixed(term))
 
 
-def lanes(term: Column) -> list[Column]:
-    """What a term adds to each long: 15 bits of its hash, never 0, in the place of the cell that it lies in."""
-    g = _mixed(term)
-    value = F.shiftright(F.xxhash64(g), 40).bitwiseAND(F.lit(0x7FFE)) + F.lit(1).cast("long")
-    out = []
-    for first, bits, cell in PLAN:
-        at = F.shiftrightunsigned(g, first).bitwiseAND(F.lit((1 << bits) - 1)) - cell
-        out.append(F.when(at.between(0, 3), F.call_function("shiftleft", value, (at * 16).cast("int"))).otherwise(F.lit(0).cast("long")))
-    return out
+def cell_of(term: Column) -> Column:
+    return F.pmod(_mixed(term), F.lit(CELLS)).cast("int")
 
 
-def _places(w: Column) -> Column:
-    """How many of the four places of a long are not 0."""
-    for k in (8, 4, 2, 1):
-        w = w.bitwiseOR(F.shiftrightunsigned(w, k))
-    return F.bit_count(w.bitwiseAND(F.lit(0x0001000100010001))).cast("int")
+def at_level(term: Column, level: int) -> Column:
+    """Whether a term is in its cell's subset of that level."""
+    return F.shiftrightunsigned(_mixed(term), 32).bitwiseAND(F.lit((1 << 2 * level) - 1)) == 0
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints (arrays of longs), from 0 to 1."""
-    counts = F.zip_with(F.slice(a, 2, len(PLAN)), F.slice(b, 2, len(PLAN)), lambda x, y: F.struct(_places(x.bitwiseOR(y)).alias("filled"), _places(x.bitwiseXOR(y)).alias("differ")))
+def _short(x: Column) -> Column:
+    """15 bits of a set's hash and a 1; 0 for no terms."""
+    return F.when(x == 0, F.lit(0)).otherwise(F.shiftrightunsigned(x, 16).bitwiseAND(F.lit(0x7FFF)).bitwiseOR(F.lit(1))).cast("smallint")
+
 
-    def total(part: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("filled"), F.lit(0).alias("differ"))
-        return F.aggregate(part, zero, lambda s, x: F.struct((s["filled"] + x["filled"]).alias("filled"), (s["differ"] + x["differ"]).alias("differ")))
+def subsets_of(cells: Column) -> Column:
+    """Fingerprint from CELLS structs (l0 .. of the levels' hashes): the hash of all terms in four parts, then each rate's."""
+    numbers = F.array(*(F.lit(c) for c in range(CELLS)))
 
-    def share(t: Column, least: int) -> Column:
-        return _once(t, lambda x: F.when(x["filled"] >= least, (x["filled"] - x["differ"]).cast("double") / x["filled"]))
+    def xor(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v))
+
+    def level(cs: Column, k: int) -> Column:
+        return F.transform(cs, lambda c: _short(c[f"l{k}"]))
+
+    def all_(cs: Column) -> Column:
+        first = F.transform(cs, lambda c: c["l0"])
+        whole = _once(xor(first), lambda x: F.array(*(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(0xFFFF)) - 0x8000 for k in (48, 32, 16, 0))))
+        rows = _once(F.concat(first, first), lambda two: F.transform(numbers, lambda c: _short(xor(F.slice(two, c + 1, F.lit(ROW))))))
+        return F.concat(F.transform(whole, lambda x: x.cast("smallint")), rows, *(level(cs, k) for k in range(LEVELS)))
+
+    return _once(cells, all_)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness of two fingerprints, from 0 to 1."""
+    pairs = F.zip_with(F.slice(a, 5, CELLS * RATES), F.slice(b, 5, CELLS * RATES), lambda x, y: F.when((x == 0) & (y == 0), F.lit(None)).otherwise(F.when(x == y, 1).otherwise(0)))
 
-    def best(c: Column) -> Column:
-        return F.coalesce(F.greatest(*(share(total(F.slice(c, 1 + k * LONGS, LONGS)), MIN_FILLED) for k in range(len(RATES)))), share(total(c), 1), F.lit(0.0))
+    def best(found: Column) -> Column:
+        parts = [F.filter(F.slice(found, 1 + k * CELLS, CELLS), lambda x: x.isNotNull()) for k in range(RATES)]
+        filled = F.filter(found, lambda x: x.isNotNull())
+        share = lambda x, least: _once(x, lambda p: F.when(F.size(p) >= least, F.aggregate(p, F.lit(0), lambda s, v: s + v).cast("double") / F.size(p)))
+        return F.coalesce(F.greatest(*(share(p, MIN_FILLED) for p in parts)), share(filled, 1), F.lit(0.0))
 
-    return F.when(a == b, 1.0).otherwise(_once(counts, best))
+    return F.when(a == b, 1.0).otherwise(_once(pairs, best))
 
 
 def as_text(fp: Column) -> Column:
-    return F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    return F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x.cast("int").bitwiseAND(F.lit(0xFFFF))), 4, "0")), "")
 
 
 def fingerprint_pairs(texts: DataFrame, lex: DataFrame) -> DataFrame:
     """(k1, k2, fa, fe, sha): fingerprints of text and edited, and the checksum of edited; one row a key.
 
-    The terms are exploded, looked up and added up again where the texts lie: no shuffle if the lexicon is broadcast.
+    The terms are exploded, looked up and added up by cell where the texts lie: no shuffle if the lexicon is broadcast.
+    A row without a term keeps texts that have none.
     """
     side = lambda e, text, sha: F.struct(F.lit(e).alias("e"), term_hashes(F.col(text)).alias("ts"), F.xxhash64(text, F.lit(3)).alias("w"), sha.alias("sha"))
     both = texts.select("k1", "k2", F.explode(F.array(side(0, "text", F.lit(None).cast("string")), side(1, "edited", F.sha2("edited", 256)))).alias("x"))
     each = both.select("k1", "k2", "x.e", "x.w", "x.sha", F.explode_outer("x.ts").alias("term"))
     found = each.join(small_side(lex.select("term", F.lit(True).alias("in_band")), LEXICON_ROWS), "term", "left")
-    names = [f"v{k}" for k in range(len(PLAN) + 1)]
-    added = found.select("k1", "k2", "e", "w", "sha", "term", "in_band", *(v.alias(n) for n, v in zip(names, [set_hash(F.col("term")), *lanes(F.col("term"))], strict=True)))
-    sums = [F.bit_xor(F.when(F.col("term").isNotNull(), F.col(n))).alias(f"all_{n}") for n in names] + [F.bit_xor(F.when(F.col("in_band"), F.col(n))).alias(f"band_{n}") for n in names]
-    kept = added.groupBy("k1", "k2", "e").agg(*sums, F.count("term").alias("terms"), F.count("in_band").alias("band"), F.max("w").alias("w"), F.max("sha").alias("sha"))
-    whole = [set_hash(F.col("w")), *lanes(F.col("w"))]
-    pick = F.when(F.col("band") >= MIN_TERMS, F.array(*(f"band_{n}" for n in names))).when(F.col("terms") > 0, F.array(*(f"all_{n}" for n in names))).otherwise(F.array(*whole))
-    fp = kept.select("k1", "k2", "e", "sha", pick.alias("fp"))
+    term, zero = F.col("term"), F.lit(0).cast("long")
+    added = found.select("k1", "k2", "e", "w", "sha", "term", "in_band", cell_of(term).alias("cell"), set_hash(term).alias("h"))
+    sums = [F.coalesce(F.bit_xor(F.when(at_level(term, k) & (F.col("in_band") if band else term.isNotNull()), F.col("h"))), zero).alias(f"{name}{k}") for name, band in (("a", False), ("b", True)) for k in range(LEVELS)]
+    cells = added.groupBy("k1", "k2", "e", "cell").agg(*sums, F.count("term").alias("terms"), F.count("in_band").alias("band"), F.max("w").alias("w"), F.max("sha").alias("sha"))
+    named = lambda name: F.struct(*(F.col(f"{name}{k}").alias(f"l{k}") for k in range(LEVELS)))
+    held = F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", named("a").alias("a"), named("b").alias("b"))))
+    kept = cells.groupBy("k1", "k2", "e").agg(held.alias("cells"), F.sum("terms").alias("terms"), F.sum("band").alias("band"), F.max("w").alias("w"), F.max("sha").alias("sha"))
+    none, w = F.struct(*(zero.alias(f"l{k}") for k in range(LEVELS))), F.col("w")
+    numbers = F.array(*(F.lit(c) for c in range(CELLS)))
+    own = lambda name: _once(F.map_from_entries(F.transform("cells", lambda c: F.struct(c["cell"], c[name]))), lambda m: F.transform(numbers, lambda c: F.coalesce(F.try_element_at(m, c), none)))
+    whole = F.transform(numbers, lambda c: F.when(c == cell_of(w), F.struct(*(F.when(at_level(w, k), set_hash(w)).otherwise(zero).alias(f"l{k}") for k in range(LEVELS)))).otherwise(none))
+    pick = F.when(F.col("band") >= MIN_TERMS, own("b")).when(F.col("terms") > 0, own("a")).otherwise(whole)
+    fp = kept.select("k1", "k2", "e", "sha", subsets_of(pick).alias("fp"))
     of = lambda e: F.max(F.when(F.col("e") == e, F.col("fp")))
     return fp.groupBy("k1", "k2").agg(F.max("sha").alias("sha"), of(0).alias("fa"), of(1).alias("fe"))
 

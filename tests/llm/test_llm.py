@@ -219,31 +219,32 @@ def brute_fingerprint(words: set, lexicon: set) -> list[int]:
     h = lambda x: xxhash.xxh64(struct.pack("<Q", x), seed=42).intdigest()
     terms = {xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words}
     kept = terms & lexicon if len(terms & lexicon) >= imatch.MIN_TERMS else terms
-    out = [0]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+
+    def digest(subset: set) -> int:
+        x = 0
+        for t in subset:
+            x ^= h(h(t))
+        return x >> 16 & 0x7FFF | 1 if x else 0
+
+    cells = [{t for t in kept if signed(h(t)) % imatch.CELLS == c} for c in range(imatch.CELLS)]
+    x = 0
     for t in kept:
-        out[0] ^= h(h(t))
-    bit = 0
-    for bits in imatch.RATES:
-        deals = {2: 6, 4: 2}.get(bits, 1)
-        for k in range(imatch.SUBSETS):
-            deal, cell = divmod(k, imatch.SUBSETS // deals)
-            value = 0
-            for t in kept:
-                if (h(t) >> (bit + deal * bits)) % (1 << bits) == cell:
-                    v = h(h(t))
-                    value ^= (((v - (1 << 64) if v >> 63 else v) >> 40) & 0x7FFE) + 1
-            out.append(value)
-        bit += deals * bits
+        x ^= h(h(t))
+    out = [(x >> k & 0xFFFF) - 0x8000 & 0xFFFF for k in (48, 32, 16, 0)]
+    out += [digest(set().union(*(cells[(c + k) % imatch.CELLS] for k in range(imatch.ROW)))) for c in range(imatch.CELLS)]
+    for level in range(imatch.LEVELS):
+        out += [digest({t for t in cell if (h(t) >> 32) % (1 << 2 * level) == 0}) for cell in cells]
     return out
 
 
 def brute_likeness(a: list[int], b: list[int]) -> float:
     if a == b:
         return 1.0
-    pairs = list(zip(a, b))[1:]
+    pairs, n = list(zip(a, b))[4:], imatch.CELLS
     shares = []
-    for k in range(len(imatch.RATES)):
-        filled = [x == y for x, y in pairs[k * imatch.SUBSETS : (k + 1) * imatch.SUBSETS] if x or y]
+    for k in range(imatch.RATES):
+        filled = [x == y for x, y in pairs[k * n : (k + 1) * n] if x or y]
         if len(filled) >= imatch.MIN_FILLED:
             shares.append(sum(filled) / len(filled))
     filled = [x == y for x, y in pairs if x or y]
@@ -251,8 +252,7 @@ def brute_likeness(a: list[int], b: list[int]) -> float:
 
 
 def unpacked(fp: str) -> list[int]:
-    longs = [int(fp[k : k + 16], 16) for k in range(0, len(fp), 16)]
-    return [longs[0], *((x >> 16 * k) & 0xFFFF for x in longs[1:] for k in range(4))]
+    return [int(fp[k : k + 4], 16) for k in range(0, len(fp), 4)]
 
 
 def test_imatch_against_brute_force(spark):
