@@ -1,12 +1,12 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of normalised test items.
 
-Each text is normalised (A-Z lower-cased, words of digits, a-z and non-ASCII characters, single
-spaces) and scanned once by the automaton; matches are ranges of words, mapped back to code-point
-offsets of the original text.
+Each text is normalised (A-Z lower-cased, words of digits, a-z and non-ASCII characters), its words are
+numbered by those of the items, and it is scanned once by the automaton; matches are ranges of words, mapped
+back to code-point offsets of the original text.
 
 Plan: one narrow pass over the documents (no shuffle).  The items are broadcast in blocks of at most
-``block_bytes``, so what a worker holds is bounded whatever the size of the benchmark; each further
-block is one more narrow pass that adds its matches to those found before.
+``block_bytes`` (about 100 bytes of automaton a byte), so what a worker holds is bounded whatever the size of
+the benchmark: one automaton up to 4 MB of items; each further block is one more narrow pass that adds its matches to those found before.
 
 Edge cases.  Null or word-less text: no words, not contaminated.  Null or word-less item: no window.
 An item with a null id marks words but is not listed.  Repeated documents are rows of their own;
@@ -22,7 +22,6 @@ import uuid
 from collections.abc import Iterator
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,22 +34,32 @@ _SPOT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _AUTOMATA: dict = {}
 
 
-def build_automaton(items: list[tuple[str | None, str | None]], window: int):
-    """Windows of every item as " w1 .. wn " -> (number of words, item ids); None if there is none."""
-    found: dict[str, tuple[int, set]] = {}
+class Windows:
+    """The automaton over word numbers, and the numbers of the words that items hold (0: any other word)."""
+
+    def __init__(self, numbers: dict[bytes, int], automaton):
+        self.numbers, self.automaton = numbers, automaton
+
+
+def build_automaton(items: list[tuple[str | None, str | None]], window: int) -> Windows | None:
+    """Windows of every item as sequences of word numbers -> (number of words, item ids); None if there is none.
+
+    A window is as many steps as it has words, not letters, which bounds the automaton at window nodes a word.
+    """
+    numbers: dict[bytes, int] = {}
+    found: dict[tuple[int, ...], tuple[int, set]] = {}
     for item_id, text in items:
-        ws = words(text or "")
+        ws = [numbers.setdefault(w, len(numbers) + 1) for w in words(text or "")]
         n = min(window, len(ws))
         for i in range(len(ws) - n + 1 if n else 0):
-            key = " " + b" ".join(ws[i : i + n]).decode("utf-8", "surrogatepass") + " "
-            found.setdefault(key, (n, set()))[1].update([] if item_id is None else [item_id])
+            found.setdefault(tuple(ws[i : i + n]), (n, set()))[1].update([] if item_id is None else [item_id])
     if not found:
         return None
-    automaton = ahocorasick.Automaton()
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for key, value in found.items():
         automaton.add_word(key, value)
     automaton.make_automaton()
-    return automaton
+    return Windows(numbers, automaton)
 
 
 def _automaton(key: str, items: list, window: int):
@@ -66,16 +75,12 @@ def scan(automaton, text: str) -> tuple[int, list[tuple[int, int]], set]:
     ws = words(text)
     if automaton is None or not ws:
         return len(ws), [], set()
-    line = " " + b" ".join(ws).decode("utf-8", "surrogatepass") + " "
+    get = automaton.numbers.get
     hits, items = [], set()
-    for end, (n, ids) in automaton.iter(line):
-        hits.append((end, n))
+    for last, (n, ids) in automaton.automaton.iter(tuple([get(w, 0) for w in ws])):
+        hits.append((last + 1 - n, last + 1))
         items |= ids
-    if not hits:
-        return len(ws), [], items
-    spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-    last = np.searchsorted(spaces, [e for e, _ in hits])
-    return len(ws), merge([(int(j) - n, int(j)) for j, (_, n) in zip(last, hits, strict=True)]), items
+    return len(ws), merge(hits), items
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,7 +110,7 @@ _NEW = T.StructType(
 _PA_RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, with_spans: bool = False, block_bytes: int = 8 << 20) -> DataFrame:
+def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, with_spans: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
     """The columns of docs with n_words, hit_words (ranges of words), items (sorted ids as strings) and,
     if asked for, hit_spans (code-point ranges of the original text)."""
     spark = docs.sparkSession
@@ -164,6 +169,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     )
 
 
+def cut(text: str, spans: str = "hit_spans") -> F.Column:
+    """The text without the spans (sorted, disjoint code-point ranges)."""
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
+    done = F.aggregate(spans, start, lambda a, r: F.struct(F.concat(a["kept"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (r["start"] - a["at"]).cast("int"))).alias("kept"), r["end"].alias("at")))
+    return F.concat(done["kept"], F.substring(F.col(text), (done["at"] + 1).cast("int"), F.char_length(text)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ratio: int = RATIO) -> DataFrame:
+    """docs (doc_id, text and others) without contaminated documents and those that hold a whole window of `window` words;
+    a shorter item's words, which may be met by chance, are cut out of the documents that stay.  A null text stays null."""
+    names = docs.columns
+    found = decontaminate(docs, benchmark, window=window, ratio=ratio)
+    held = F.exists("hit_words", lambda r: r["end"] - r["start"] >= window)
+    kept = found.where(~F.col("contaminated") & ~held)
+    return kept.withColumn("text", F.when(F.size("hit_spans") > 0, cut("text")).otherwise(F.col("text"))).select(names)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns."""
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

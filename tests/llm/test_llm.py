@@ -75,6 +75,16 @@ def test_decontaminate(spark, docs, rows, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_clean_drops_windows_and_cuts_short_items(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    long = " ".join(f"w{i}" for i in range(900))
+    rows = [(1, f"{long} {item} {long}"), (2, long), (3, f"{long}, Short  item! {long}"), (4, "short item"), (5, None), (6, ""), (7, f"{long} {item[:40]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS lang")
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, item), (2, "Short item")], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "lang"]
+    assert {r.doc_id: r.text for r in kept.collect()} == {2: long, 3: f"{long}, ! {long}", 5: None, 6: "", 7: f"{long} {item[:40]}"}
+
+
 def test_html():
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/x>menu</a></ul></nav><div class="cookie-notice">We use cookies</div>
     <div class="ad">buy</div><div class="content c12"><h1>Head &amp; line</h1><p>One <b>bold</b>&nbsp;word<br>next<p>Two</div><aside>side</aside><div id="comments"><p>I disagree a lot with all of this and write long</p></div><form>f</form><script>var t="</p>";</script><footer>&copy; x</footer>"""
