@@ -36,9 +36,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
-    found = decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), with_spans=False)
-    return found.where(~F.col("contaminated")).select(*COLUMNS)
+    """Documents without benchmark items: those that are contaminated or hold a whole window go, shorter items are cut out."""
+    kept = decontaminate.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return kept.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
