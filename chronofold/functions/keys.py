@@ -20,6 +20,16 @@ def canonical(payload: Column) -> Column:
     return F.to_json(F.parse_json(payload))
 
 
+def hash_text(payload: Column) -> Column:
+    """What is hashed of a payload (JSON text): a string's own characters, '' for null, canonical JSON for all else.
+
+    Text that is no JSON is hashed as it is.  Numbers are written as Spark writes them (1.0E21, not 1e+21).
+    """
+    parsed = F.try_parse_json(payload)
+    kind = F.schema_of_variant(parsed)
+    return F.when(payload.isNull(), "").when(parsed.isNull(), payload).when(kind == "VOID", "").when(kind == "STRING", F.try_variant_get(parsed, "$", "string")).otherwise(F.to_json(parsed))
+
+
 def sha64_hex(text: Column) -> Column:
     return F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 16)
 
@@ -31,12 +41,13 @@ def sha64(text: Column) -> Column:
 
 
 def full_key(payload: Column, previous: Column) -> Column:
-    return sha64(payload).bitwiseXOR(sha64(previous))
+    """The full key of a payload (JSON text) behind the stored key of the record before it."""
+    return sha64(hash_text(payload)).bitwiseXOR(sha64(previous))
 
 
 def recover_previous(key: Column, payload: Column) -> Column:
     """The hash of the previous key, from a full key and its payload."""
-    return key.bitwiseXOR(sha64(payload))
+    return key.bitwiseXOR(sha64(hash_text(payload)))
 
 
 def token_id(token: Column, left: Column, right: Column) -> Column:
@@ -111,10 +122,39 @@ def py_bits(key: str) -> str:
     return bin(n)[3:]
 
 
+class Allocator:
+    """The taken prefixes of one log, as numbers led by a 1, with a count by level so that closed levels are skipped."""
+
+    def __init__(self):
+        self.taken: set[int] = set()
+        self.levels: dict[int, int] = {}
+
+    def take(self, bits: str) -> bool:
+        n = int("1" + bits, 2)
+        if n in self.taken:
+            return False
+        self.taken.add(n)
+        self.levels[len(bits)] = self.levels.get(len(bits), 0) + 1
+        return True
+
+    def allocate(self, bits: str, start: int = 2) -> str:
+        """The stored key of the shortest free prefix of bits, from a length of start; it is taken."""
+        for n in range(start, len(bits) + 1):
+            if self.levels.get(n, 0) < 1 << n and self.take(bits[:n]):
+                return py_base64(int("1" + bits[:n], 2))
+        raise ValueError("no free prefix is left")
+
+
 def allocate(bits: str, taken: set[str], start: int = 2) -> str:
-    """The shortest free prefix of bits, from a length of start; it is taken."""
-    for n in range(start, len(bits) + 1):
-        if bits[:n] not in taken:
-            taken.add(bits[:n])
-            return py_base64(int("1" + bits[:n], 2))
-    raise ValueError("no free prefix is left")
+    """The shortest free prefix of bits among a set of bit strings; it is taken."""
+    own = Allocator()
+    for t in taken:
+        own.take(t)
+    key = own.allocate(bits, start)
+    taken.add(py_bits(key))
+    return key
+
+
+def nano() -> Column:
+    """Nanoseconds since the epoch (of whole microseconds)."""
+    return F.unix_micros(F.current_timestamp()) * 1000

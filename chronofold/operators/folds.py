@@ -1,22 +1,28 @@
 """Reducers: the state of each log as a relational fold of its records.
 
 A log table has (log, seq, payload), payload being JSON text; seq gives the order.  Every fold is one shuffle by
-log and key, with partial aggregation before it; no log is gathered into one task but by ``append`` and ``custom``.
+log and key; no log is gathered into one task but by ``append`` and ``custom``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def entries(log: DataFrame) -> DataFrame:
-    """(log, seq, k, v): top-level fields of each payload, v as JSON text, JSON null as the text null."""
-    fields = F.map_entries(F.from_json("payload", "map<string,string>"))
-    typed = log.select("log", "seq", F.explode(fields).alias("e"), "payload")
-    return typed.select("log", "seq", F.col("e.key").alias("k"), F.coalesce("e.value", F.lit("null")).alias("v"))
+    """(log, seq, k, v): top-level fields of each payload, v as JSON text: strings keep their quotes, JSON null is null.
+
+    A payload that is no object is a field named by its record's key, if there is a key.
+    """
+    key = F.col("key") if "key" in log.columns else F.lit(None).cast("string")
+    whole = F.when(key.isNotNull() & F.try_parse_json("payload").isNotNull(), F.create_map(key, F.parse_json("payload")))
+    is_object = F.ltrim("payload").startswith("{")
+    fields = F.when(is_object, F.from_json("payload", "map<string,variant>")).otherwise(whole)
+    typed = log.select("log", "seq", F.explode(F.map_entries(fields)).alias("e"))
+    return typed.select("log", "seq", F.col("e.key").alias("k"), F.coalesce(F.to_json("e.value"), F.lit("null")).alias("v"))
 
 
 def _last(value: Column, seq: str = "seq") -> Column:
@@ -31,49 +37,71 @@ def assign(log: DataFrame) -> DataFrame:
 def merge(log: DataFrame) -> DataFrame:
     """(log, k, sub, v): null deletes a field, an object merges one level deep, anything else replaces.
 
-    sub is null for a field that holds no object.  What counts for a field are the events after its last reset (a
-    null, scalar or array).
+    sub is null for a field that holds no object, or an empty one.  What counts for a field are the events after its last
+    reset (a null, scalar or array).  One pass over the fields: the last reset of a field is a window's maximum.
     """
     e = entries(log).withColumn("is_object", F.col("v").startswith("{"))
-    reset = e.where(~F.col("is_object")).groupBy("log", "k").agg(F.max("seq").alias("reset"), _last(F.col("v")).alias("flat"))
-    objects = e.where("is_object").join(reset, ["log", "k"], "left").where(F.col("reset").isNull() | (F.col("seq") > F.col("reset")))
-    subs = objects.select("log", "k", "seq", F.explode(F.map_entries(F.from_json("v", "map<string,string>"))).alias("s"))
-    nested = subs.groupBy("log", "k", F.col("s.key").alias("sub")).agg(_last(F.coalesce("s.value", F.lit("null"))).alias("v"))
-    held = nested.select("log", "k").distinct()
-    flat = reset.where(F.col("flat") != "null").join(held, ["log", "k"], "left_anti").select("log", "k", F.lit(None).cast("string").alias("sub"), F.col("flat").alias("v"))
-    return nested.unionByName(flat)
-
-
-def leaves(log: DataFrame, separator: str = "/", depth: int = 8) -> DataFrame:
-    """(log, seq, path, v): every leaf of each payload; keys that hold the separator are paths; an empty object is a leaf."""
-    level = log.select("log", "seq", F.array().cast("array<string>").alias("path"), F.col("payload").alias("v"))
-    done = []
-    for _ in range(depth):
-        is_object = F.col("v").startswith("{") & (F.col("v") != "{}")
-        done.append(level.where(~is_object))
-        sub = level.where(is_object).select("log", "seq", "path", F.explode(F.map_entries(F.from_json("v", "map<string,string>"))).alias("e"))
-        level = sub.select("log", "seq", F.concat("path", F.filter(F.split(F.col("e.key"), F.lit(separator) if separator not in ".|" else F.lit("\\" + separator)), lambda x: x != "")).alias("path"), F.coalesce("e.value", F.lit("null")).alias("v"))
-    done.append(level)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("log", "seq", F.array_join("path", separator).alias("path"), F.col("path").alias("steps"), "v")
-
-
-def deep_merge(log: DataFrame, separator: str = "/", depth: int = 8) -> DataFrame:
+    w = Window.partitionBy("log", "k")
+    e = e.withColumn("reset", F.max(F.when(~F.col("is_object"), F.col("seq"))).over(w))
+    live = e.where(F.col("reset").isNull() | (F.col("seq") >= F.col("reset")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
+    fields = F.map_entries(F.from_json("v", "map<string,variant>"))
+    subs = live.withColumn("s", F.explode(F.when(F.col("is_object") & (F.size(fields) > 0), fields).otherwise(none)))
+    subs = subs.select("log", "k", "seq", F.col("s.key").alias("sub"), F.when(F.col("s.key").isNull(), F.col("v")).otherwise(F.coalesce(F.to_json("s.value"), F.lit("null"))).alias("v"))
+    last = subs.groupBy("log", "k", "sub").agg(_last(F.col("v")).alias("v"), F.max("seq").alias("seq"))
+    # A field's own row stays only if it holds no sub-field.
+    held = last.withColumn("subs", F.count("sub").over(w))
+    return held.where(F.col("sub").isNotNull() | ((F.col("subs") == 0) & (F.col("v") != "null"))).select("log", "k", "sub", "v")
+
+
+def leaves(log: DataFrame, separator: str = "/") -> DataFrame:
+    """(log, seq, path, steps, v): every leaf of each payload, at any depth, v as JSON text; keys that hold the separator
+    are paths; an empty object is a leaf; payloads that are no object are left out.  One Arrow pass."""
+    import pyarrow as pa
+
+    kind = log.schema["log"].dataType.simpleString()
+
+    def run(batches):
+        import json
+
+        for batch in batches:
+            at, steps, values = [], [], []
+            for i, payload in enumerate(batch.column("payload").to_pylist()):
+                try:
+                    doc = json.loads(payload or "null")
+                except ValueError:
+                    continue
+                stack = [((), doc)] if isinstance(doc, dict) else []
+                while stack:
+                    path, x = stack.pop()
+                    if isinstance(x, dict) and x:
+                        stack += [((*path, *(s for s in k.split(separator) if s)), v) for k, v in reversed(x.items())]
+                    elif path:
+                        at.append(i)
+                        steps.append(list(path))
+                        values.append(json.dumps(x, ensure_ascii=False, separators=(",", ":"), sort_keys=True))
+            rows = batch.select(["log", "seq"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([separator.join(s) for s in steps], pa.string()), pa.array(steps, pa.list_(pa.string())), pa.array(values, pa.string())], names=["log", "seq", "path", "steps", "v"])
+
+    return log.select("log", F.col("seq").cast("long").alias("seq"), "payload").mapInArrow(run, f"log {kind}, seq long, path string, steps array<string>, v string")
+
+
+def deep_merge(log: DataFrame, separator: str = "/") -> DataFrame:
     """(log, path, v): recursive merge; null deletes at any depth, arrays and scalars replace, path keys expand.
 
-    A leaf stays if no later event ends at its path, at one of its ancestors, or (for an object over a scalar) below it.
+    A leaf stays if no later event ends at its path, at one of its ancestors, or (for a value under an object) below it.
+    An empty object replaces a scalar but leaves an object as it is.
     """
-    all_ = leaves(log, separator, depth).where(F.size("steps") > 0)
-    last = all_.groupBy("log", "path", "steps").agg(F.max("seq").alias("seq"), _last(F.col("v")).alias("v"))
-    above = last.select("log", "path", "seq", "v", F.explode(F.transform(F.sequence(F.lit(1), F.size("steps")), lambda i: F.array_join(F.slice("steps", F.lit(1), i), separator))).alias("up"))
-    proper = above.where(F.col("up") != F.col("path"))
-    ends = last.where(F.col("v") != "{}").select("log", F.col("path").alias("up"), F.col("seq").alias("end_seq"))
-    buried = proper.join(ends, ["log", "up"]).where(F.col("end_seq") > F.col("seq")).select("log", "path").distinct()
-    opened = proper.groupBy("log", "up").agg(F.max("seq").alias("open_seq")).withColumnRenamed("up", "path")
-    kept = last.where(F.col("v") != "null").join(buried, ["log", "path"], "left_anti").join(opened, ["log", "path"], "left")
-    return kept.where(F.col("open_seq").isNull() | (F.col("open_seq") < F.col("seq"))).select("log", "path", "v")
+    all_ = leaves(log, separator)
+    last = all_.groupBy("log", "path", "steps").agg(F.max("seq").alias("seq"), _last(F.col("v")).alias("v"), F.max(F.when(F.col("v") != "{}", F.col("seq"))).alias("end_seq"))
+    above = F.transform(F.sequence(F.lit(1), F.size("steps")), lambda i: F.struct(F.array_join(F.slice("steps", F.lit(1), i), separator).alias("up"), (i < F.size("steps")).alias("proper")))
+    # One row for a leaf at each of its ancestors and one at itself; a window by that place holds all that can bury or open it.
+    spread = last.select("log", "path", "seq", "v", "end_seq", F.inline(above))
+    place = Window.partitionBy("log", "up")
+    spread = spread.withColumn("ended", F.max(F.when(~F.col("proper"), F.col("end_seq"))).over(place)).withColumn("opened", F.max(F.when(F.col("proper"), F.col("seq"))).over(place))
+    gone = (F.col("proper") & (F.col("ended") > F.col("seq"))) | (~F.col("proper") & (F.col("opened") > F.col("seq")))
+    out = spread.groupBy("log", "path").agg(F.max("v").alias("v"), F.bool_or(F.coalesce(gone, F.lit(False))).alias("gone"))
+    return out.where(~F.col("gone") & (F.col("v") != "null")).select("log", "path", "v")
 
 
 def append(log: DataFrame) -> DataFrame:
@@ -100,18 +128,36 @@ def fill_missing(left: DataFrame, right: DataFrame, on: list[str], value: str =
 
 
 def custom(log: DataFrame, reduce: Callable, initial: object, schema: str) -> DataFrame:
-    """A user's reduce(state, payload) over each log, in order, as one row {log, **state}; one task holds one log."""
-    import json
-
-    import pandas as pd
+    """A user's reduce(state, payload) over each log, in order, as one row {log, **state}.
 
-    def run(pdf):
-        state = initial
-        for payload in pdf.sort_values("seq")["payload"]:
-            state = reduce(state, json.loads(payload))
-        return pd.DataFrame([{"log": pdf["log"].iloc[0], **state}])
-
-    return log.groupBy("log").applyInPandas(run, schema)
+    A log is one task, which streams its rows and holds only the state.
+    """
+    import pyarrow as pa
+
+    def run(batches):
+        import copy
+        import json
+
+        log_, state = None, None
+        started = False
+        for batch in batches:
+            out = []
+            for name, payload in zip(batch.column("log").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if not started or name != log_:
+                    if started:
+                        out.append({"log": log_, **state})
+                    log_, state, started = name, copy.deepcopy(initial), True
+                state = reduce(state, json.loads(payload))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        if started:
+            yield pa.RecordBatch.from_pylist([{"log": log_, **state}], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return log.repartition("log").sortWithinPartitions("log", "seq").select("log", "payload").mapInArrow(run, schema)
 
 
 REDUCERS = {"assign": assign, "kv": assign, "merge": merge, "store": merge, "map": deep_merge, "append": append, "stream": append, "bloom": membership}

@@ -13,7 +13,8 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """lines with key and payload (JSON text): hashed lines, else {"key": payload} lines, else key{payload} lines; others go."""
     v = F.col(value)
     hashed = F.regexp_extract(v, _HASHED, 2)
-    first = F.element_at(F.map_entries(F.from_json(v, "map<string,string>")), 1)
+    fields = F.element_at(F.map_entries(F.from_json(v, "map<string,variant>")), 1)
+    first = F.struct(fields["key"].alias("key"), F.coalesce(F.to_json(fields["value"]), F.lit("null")).alias("value"))
     flow_key, flow = F.regexp_extract(v, r"^([^\s{}#]+)(\{.*\})\s*$", 1), F.regexp_extract(v, r"^([^\s{}#]+)(\{.*\})\s*$", 2)
     is_map = F.try_parse_json(v).isNotNull() & v.startswith("{")
     key = F.when(hashed != "", hashed).when(is_map, first["key"]).when(flow_key != "", flow_key)
@@ -50,7 +51,7 @@ def write_log(log: DataFrame, path: str, kind: str = "dash", mode: str = "append
 
 def parse_env(text: Column) -> Column:
     """KEY=VALUE lines as a map: blanks and # lines are skipped, split at the first =, matching quotes are stripped, last wins."""
-    rows = F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#") & x.contains("="))
+    rows = F.filter(F.transform(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & x.contains("="))
     pairs = F.transform(rows, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_replace(x, r"^[^=]*=", "")), r"^(['\"])(.*)\1$", "$2").alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
