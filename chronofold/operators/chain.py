@@ -114,11 +114,15 @@ def levels(log: DataFrame) -> DataFrame:
 def settle(commands: DataFrame, results: DataFrame) -> DataFrame:
     """Each command with its first later result whose _prev or _ref is the command's key; null if none came.
 
-    commands: (key, seq); results: (key, seq, prev, ref).  An equi-join over both references, then min by seq.
+    commands: (key, seq) and more; results: (key, seq, prev, ref).  Both lie in one window by key: each command looks at
+    the least result behind it, so a key with many commands and results is sorted, not paired.
     """
-    refs = results.select(F.col("key").alias("result_key"), F.col("seq").alias("result_seq"), F.explode(F.array_distinct(F.array("prev", "ref"))).alias("to")).where("to is not null")
-    joined = commands.join(refs, (F.col("key") == F.col("to")) & (F.col("result_seq") > F.col("seq")), "left")
-    return joined.groupBy(*commands.columns).agg(F.min("result_seq").alias("result_seq"), F.min_by("result_key", "result_seq").alias("result_key"))
+    refs = results.select(F.col("key").alias("result_key"), F.col("seq").alias("result_seq"), F.explode(F.array_compact(F.array_distinct(F.array("prev", "ref")))).alias("to"))
+    own = commands.select(F.col("key").alias("__k"), F.col("seq").alias("__s"), F.lit(1).alias("__c"), F.struct(*commands.columns).alias("__row"), F.lit(None).cast(results.select(F.struct(F.col("seq"), F.col("key"))).schema[0].dataType).alias("__r"))
+    other = refs.select(F.col("to").alias("__k"), F.col("result_seq").alias("__s"), F.lit(0).alias("__c"), F.lit(None).cast(own.schema["__row"].dataType).alias("__row"), F.struct(F.col("result_seq").alias("seq"), F.col("result_key").alias("key")).alias("__r"))
+    behind = Window.partitionBy("__k").orderBy("__s", "__c").rowsBetween(1, Window.unboundedFollowing)
+    found = own.unionByName(other).withColumn("__f", F.min("__r").over(behind)).where("__c = 1")
+    return found.select("__row.*", F.col("__f.seq").alias("result_seq"), F.col("__f.key").alias("result_key"))
 
 
 def descendants(links: DataFrame, root: object, rounds: int = 10_000) -> DataFrame:

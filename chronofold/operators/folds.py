@@ -160,4 +160,10 @@ def custom(log: DataFrame, reduce: Callable, initial: object, schema: str) -> Da
     return log.repartition("log").sortWithinPartitions("log", "seq").select("log", "payload").mapInArrow(run, schema)
 
 
-REDUCERS = {"assign": assign, "kv": assign, "merge": merge, "store": merge, "map": deep_merge, "append": append, "stream": append, "bloom": membership}
+def upsert_payloads(log: DataFrame) -> DataFrame:
+    """(log, k, v): last payload of each payload.id; payloads without an id are left out."""
+    own = log.withColumn("k", F.to_json(F.try_variant_get(F.try_parse_json("payload"), "$.id", "variant"))).where("k is not null")
+    return own.groupBy("log", "k").agg(_last(F.col("payload")).alias("v"))
+
+
+REDUCERS = {"assign": assign, "kv": assign, "merge": merge, "store": merge, "map": deep_merge, "table": upsert_payloads, "append": append, "stream": append, "bloom": membership}

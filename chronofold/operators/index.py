@@ -54,7 +54,7 @@ def to_lines(index: DataFrame) -> DataFrame:
     n = F.col("position").cast("long")
     bytes_ = index.where(F.col("level") <= DENSE).groupBy("log", "level", F.floor(n / 8).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (n % 8).cast("int"))).alias("b"))
     maps = bytes_.groupBy("log", "level").agg(F.map_from_entries(F.collect_list(F.struct("at", F.lpad(F.hex("b"), 2, "0")))).alias("m"), F.max("at").alias("last"))
-    dense = maps.select("log", "level", F.concat(F.col("level"), F.lit(":b:"), F.base64(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("00"))), "")))).alias("line"))
+    dense = maps.select("log", "level", F.concat(F.col("level"), F.lit(":b:"), F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("00"))), ""))), r"\s", "")).alias("line"))
     sparse = index.where(F.col("level") > DENSE).groupBy("log", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_set("position")), lambda x: x.cast("string")), ",").alias("p"))
     sparse = sparse.select("log", "level", F.concat(F.col("level"), F.lit(":s:"), "p").alias("line"))
     head = index.groupBy("log").agg(F.max("level").alias("m")).select("log", F.lit(0).alias("level"), F.concat(F.lit(f"index v{VERSION} levels "), "m").alias("line"))
@@ -68,8 +68,8 @@ def from_lines(lines: DataFrame) -> DataFrame:
     got = lines.join(ok, "log", "left_semi").withColumn("p", F.regexp_extract("line", r"^\d+:([bs]):(.*)$", 1)).withColumn("d", F.regexp_extract("line", r"^\d+:([bs]):(.*)$", 2))
     level = F.regexp_extract("line", r"^(\d+):", 1).try_cast("int")
     raw = F.hex(F.try_to_binary("d", F.lit("base64")))
-    dense = got.where(F.col("p") == "b").select("log", level.alias("level"), F.posexplode(F.transform(F.sequence(F.lit(0), F.length(raw) / 2 - 1), lambda i: F.conv(F.substring(raw, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))).alias("at", "b"))
-    dense = dense.select("log", "level", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(F.call_function("shiftright", F.col("b"), k).bitwiseAND(F.lit(1)) == 1, F.col("at") * 8 + k)), lambda x: x.isNotNull())).cast("decimal(20,0)").alias("position"))
+    dense = got.where(F.col("p") == "b").select("log", level.alias("level"), F.posexplode(F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(raw, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))).alias("at", "b"))
+    dense = dense.select("log", "level", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(F.call_function("shiftright", F.col("b"), k).bitwiseAND(F.lit(1)) == 1, F.col("at") * 8 + k)), lambda x: x.isNotNull())).alias("position")).withColumn("position", F.col("position").cast("decimal(20,0)"))
     sparse = got.where(F.col("p") == "s").select("log", level.alias("level"), F.explode(F.split("d", ",")).alias("x")).select("log", "level", F.col("x").try_cast("decimal(20,0)").alias("position"))
     out = dense.unionByName(sparse).where(F.col("position").isNotNull() & (F.col("level") > 0))
     return out.select("log", "level", F.lpad(F.conv(F.col("position").cast("string"), 10, 2), F.col("level"), F.lit("0")).alias("bits"), "position")

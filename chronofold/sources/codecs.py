@@ -1,8 +1,11 @@
 """Line formats of logs, and readers of small text formats, as DataFrame functions."""
 
-from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+
+import os
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: {payload}#key, split at the last # whose rest has no braces or blanks.
@@ -22,10 +25,23 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.withColumn("key", key).withColumn("payload", payload).where(F.col("key").isNotNull() & F.try_parse_json("payload").isNotNull())
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, value) of text files, a row a line.
+
+    Files are read in splits; a line's number is its place in its split plus the lines of the splits before it, which are
+    counted first (one row a split).  So a file of any size is many tasks.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("at"), "value", F.monotonically_increasing_id().alias("id"))
+    w = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("path", "at").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = splits.select("path", "at", "first", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    return rows.join(before, ["path", "at"]).select("path", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(log, seq, key, payload) of log files; seq is the line's place in its file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log"), F.posexplode(F.split("value", "\n")).alias("seq", "value"))
-    return parse_lines(whole).select("log", F.col("seq").cast("long").alias("seq"), "key", "payload")
+    return parse_lines(numbered_lines(spark, path)).select(F.col("path").alias("log"), F.col("line_no").alias("seq"), "key", "payload")
 
 
 def hashed_line(key: Column, payload: Column) -> Column:
@@ -58,12 +74,18 @@ def parse_env(text: Column) -> Column:
 
 
 def read_env(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), parse_env(F.col("value")).alias("env"))
+    """(path, env); a file whose name begins with a dot, which Spark's readers pass over, is read on the driver."""
+    if os.path.basename(path).startswith(".") and os.path.isfile(path):
+        with open(path, encoding="utf-8") as f:
+            whole = spark.createDataFrame([(path, f.read())], "path string, value string")
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return whole.select("path", parse_env(F.col("value")).alias("env"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line)"""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    return numbered_lines(spark, path).withColumnRenamed("value", "line")
 
 
 def read_blob(spark: SparkSession, path: str) -> DataFrame:
@@ -80,13 +102,17 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     if path.rsplit(".", 1)[-1] in ("yaml", "yml"):
 
-        @F.udf("string")
-        def to_json(text):
+        @F.pandas_udf("string")
+        def to_json(texts: pd.Series) -> pd.Series:
             import json
 
-            import yaml
+            from .stores import parse_mini_yaml
 
-            return json.dumps(yaml.safe_load(text) or {})
+            try:
+                from yaml import safe_load
+            except ImportError:  # the subset that this library parses itself
+                safe_load = parse_mini_yaml
+            return texts.map(lambda t: json.dumps(safe_load(t or "") or {}, default=str))
 
         whole = whole.select("path", to_json("value").alias("value"))
     return whole.select("path", F.coalesce(F.try_parse_json("value"), F.parse_json(F.lit("{}"))).alias("doc"))
