@@ -4,10 +4,11 @@ First pass: each page's containers are scored by the text of their blocks, less
 container's generalised path (tags, with class names whose digits are dropped) is the page's vote.  Spark
 counts the votes per host.  Second pass: each page is parsed again and its text is taken from the host's
 winning path, or, where that path is missing from the page or holds far less than the page's own best
-container, from the next path in the host's order and at last from the page's own.
+container, from the next path in the host's order and at last from the page's own.  The choice climbs to the containers
+around it: an article or main element, or headings and leads that lie directly in a container beside the body.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out by tag,
-role and class words.  Text is joined block by block; character references are decoded, white space (also
+role and the first or last word of a class or id.  Text is joined block by block; character references are decoded, white space (also
 no-break spaces) becomes one space.
 
 Plan: two narrow passes over the pages; the votes are pre-aggregated, so a host with a third of all pages is
@@ -21,6 +22,7 @@ open paragraph, an end tag closes what is open inside it).  Other columns are dr
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
@@ -33,8 +35,9 @@ from pyspark.sql import types as T
 from .common import materialise, prepare
 
 MIN_SHARE, ENOUGH = 0.05, 0.5
+LONG_PATH, LINKED, EXTRA = 240, 1 / 3, 0.5  # when a path is hashed; what a container may add when the choice climbs to it
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math object canvas textarea title head audio video xmp noembed noframes".split())
+RAW = frozenset("script style template noscript iframe svg object canvas textarea title head audio video xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("article main section div td body blockquote center".split())
 OUT = frozenset("nav header footer aside form button select dialog menu fieldset".split())
@@ -48,7 +51,8 @@ NOISE = frozenset(
     " related recommended recommendations recirc widget widgets toolbar pagination pager search searchbox skip copyright legal disclaimer paywall".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?(?=[\s/]|\Z)""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?|"[^"]*"|'[^']*'""")
+_READ = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
@@ -62,16 +66,25 @@ class Node:
 
 
 def attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(raw)} if raw else {}
+    """The attributes that are looked at; names within quoted values are no attributes, of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(raw) if raw else ():
+        if m[1] and (name := m[1].lower()) in _READ:
+            out.setdefault(name, (m[2] or "").strip("\"'"))
+    return out
 
 
 def is_noise(tag: str, attrs: dict[str, str]) -> bool:
-    """Left out with all that it holds."""
+    """Left out with all that it holds: by tag, role, or a class or id whose first or last word says so."""
     if tag in OUT or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
         return True
     if not attrs or tag in ("html", "body", "main", "article"):
         return False
-    return any(w.lower() in NOISE for name in (*attrs.get("class", "").split(), attrs.get("id", "")) for w in _PART.findall(name)[:3])
+    for name in (*attrs.get("class", "").split(), attrs.get("id", "")):
+        parts = _PART.findall(name)
+        if parts and (parts[0].lower() in NOISE or parts[-1].lower() in NOISE):
+            return True
+    return False
 
 
 def step(tag: str, attrs: dict[str, str]) -> str:
@@ -149,7 +162,12 @@ def parse(page: str) -> list[tuple[Node, str, bool]]:
             noise = "role" in attrs and attrs["role"].lower() in ROLES  # an article's own heading
         if tag == "form" and parent.tag in ("", "html", "body"):
             noise = parent.out  # some sites wrap the whole page in a form
-        stack.append(Node(tag, f"{parent.path}>{step(tag, attrs)}" if tag in SCOPE or tag in BLOCK else parent.path, parent, noise))
+        path = parent.path
+        if tag in SCOPE or tag in BLOCK:
+            path = f"{path}>{step(tag, attrs)}"
+            if len(path) > LONG_PATH:  # a path's length stays bounded however deep the markup goes
+                path = "#" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+        stack.append(Node(tag, path, parent, noise))
         if tag == "a":
             links += 1
         if m[3].rstrip().endswith("/") and tag not in BLOCK:
@@ -185,16 +203,41 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def text_under(parts: list[tuple[Node, str, bool]], path: str | None) -> str:
-    """The text within elements of that path (None: all), block by block."""
+class Under:
+    """Which nodes lie within elements of a path (None: all)."""
+
+    def __init__(self, path: str | None):
+        self.path, self.known = path, {}
+
+    def __call__(self, node: Node) -> bool:
+        if self.path is None:
+            return True
+        way, x, found = [], node, None
+        while found is None:
+            if (found := self.known.get(id(x))) is None:
+                way.append(x)
+                if x.parent is None:
+                    found = False
+                elif x.path == self.path and x.tag in CONTAINER:
+                    found = True
+                else:
+                    x = x.parent
+        for x in way:
+            self.known[id(x)] = found
+        return found
+
+
+def container_of(node: Node) -> Node | None:
+    while node is not None and node.tag not in CONTAINER:
+        node = node.parent
+    return node
+
+
+def text_under(parts: list[tuple[Node, str, bool]], path: str | None, beside: frozenset[str] = frozenset()) -> str:
+    """The text within elements of that path (None: all) and what lies directly in containers of the paths beside."""
     blocks: list[str] = []
     held: list[str] = []
-    inside: dict[int, bool] = {}
-
-    def under(node: Node) -> bool:
-        if id(node) not in inside:
-            inside[id(node)] = path is None or node.parent is not None and (node.path == path and node.tag in CONTAINER or under(node.parent))
-        return inside[id(node)]
+    under = Under(path)
 
     def close() -> None:
         if held and (text := _SPACE.sub(" ", "".join(held)).strip()):
@@ -204,7 +247,7 @@ def text_under(parts: list[tuple[Node, str, bool]], path: str | None) -> str:
     for node, text, fresh in parts:
         if fresh:
             close()
-        if under(node):
+        if under(node) or beside and (c := container_of(node)) is not None and c.path in beside:
             held.append(text)
         elif held:
             close()
@@ -212,6 +255,33 @@ def text_under(parts: list[tuple[Node, str, bool]], path: str | None) -> str:
     return " ".join(blocks)
 
 
+def climb(parts: list[tuple[Node, str, bool]], path: str | None) -> tuple[str | None, frozenset[str]]:
+    """(path, beside): an article or main element around the path takes its place, and of other containers around it what
+    lies directly in them (headings and leads, not boxes) is added, where that is little beside the body and hardly links."""
+    nodes = list({id(node): node for node, _, _ in parts if node.text}.values())
+    under, beside = Under(path), set()
+    own = [n for n in nodes if under(n)] if path is not None else []
+    if not own:
+        return path, frozenset()
+    size, x = sum(n.text for n in own), own[0]
+    while x.path != path or x.tag not in CONTAINER:
+        x = x.parent
+    while (x := container_of(x.parent)) is not None and x.tag not in ("body", ""):
+        if x.path == path:
+            continue
+        whole = x.tag in ("article", "main")
+        wider = Under(x.path) if whole else lambda n, at=x.path: container_of(n) is not None and container_of(n).path == at
+        more = [n for n in nodes if not under(n) and wider(n)]
+        extra, linked = sum(n.text for n in more), sum(n.link for n in more)
+        if linked > LINKED * extra or extra > EXTRA * size:
+            break
+        if whole:
+            path, under, size = x.path, wider, size + extra
+        elif more:
+            beside.add(x.path)
+    return path, frozenset(beside)
+
+
 def choose(scores: dict[str, float], winners: list[str] | None, enough: float = ENOUGH) -> str | None:
     """The first of the host's winning paths that holds enough of this page, else the page's own best."""
     own = best_path(scores)
@@ -223,7 +293,7 @@ def choose(scores: dict[str, float], winners: list[str] | None, enough: float =
 
 def extract_page(page: str | None, winners: list[str] | None = None) -> str:
     parts = parse(page or "")
-    return text_under(parts, choose(containers(parts), winners))
+    return text_under(parts, *climb(parts, choose(containers(parts), winners)))
 
 
 def votes(pages: DataFrame) -> DataFrame:

@@ -93,6 +93,28 @@ def test_html():
     assert html_extract.extract_page("just text &lt;b&gt;") in ("just text <b>", "")
 
 
+def test_html_keeps_article_text():
+    get = html_extract.extract_page
+    assert get('<article><p title="the hidden truth">Text here now</p></article>') == "Text here now"
+    assert get('<article><p>Lead of the story.</p><section class="story-related-facts"><p>A fact.</p></section></article>') == "Lead of the story. A fact."
+    assert get("<article><p>As <math><mi>x</mi></math> grows</p></article>") == "As x grows"
+    body = "words of the body go on " * 20
+    assert get(f'<body><nav>menu</nav><article><h1>Head</h1><p>lead</p><div class="body"><p>{body}</p></div></article></body>') == f"Head lead {body.strip()}"
+    links = "<a href=x>some other story</a> " * 9
+    assert get(f'<body><div class="page"><div class="list">{links}</div><div class="text"><p>{body}</p></div></div></body>') == body.strip()
+    deep = get("<article><p>" + body + "</p></article>" + "<div>" * 3000 + "x" + "</div>" * 3000)
+    assert deep == body.strip()
+    assert html_extract.attributes("""class='a b' data-x="role=menu" ID=c hidden""") == {"class": "a b", "id": "c", "hidden": ""}
+
+
+def test_html_tables(spark):
+    schema = "url string, page_id long, html string, text string, n_chars string"
+    assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
+    rows = [("http://a.example/1", 1, "<article><p>one</p></article>", "clash", "x")] * 2 + [(None, None, None, None, None)]
+    got = html_extract.extract(spark.createDataFrame(rows, schema))
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and sorted((r.page_id or 0, r.text) for r in got.collect()) == [(0, ""), (1, "one"), (1, "one")]
+
+
 def test_html_consensus(spark):
     long = "words and more words " * 10
     pages = [(i, "http://h.example/x", f'<body><div class="main m{i}"><p>{long}</p></div><div class="box"><p>short</p></div></body>') for i in range(8)]
@@ -403,6 +425,28 @@ def test_language(spark, empty):
         assert abs((up - down) / (2 * eps) - g[k][at]) < 0.05 * abs(g[k][at]) + 1e-4, k
 
 
+def test_lm_dictionary_against_brute_force(spark):
+    rng = random.Random(2)
+    long = "漢字" * 60  # a run without blanks is counted in pieces
+    texts_ = [" ".join(rng.choice(["alpha", "be", "gamma", "delta", "epsilon", "zeta"]) for _ in range(rng.randint(0, 40))) + (f"\n{long}" if k % 3 == 0 else "") for k in range(30)]
+    docs_ = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    labels_ = spark.createDataFrame([(k, int(k < 10), 0) for k in range(20)] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
+    want, good = Counter(), Counter()
+    for k, t in enumerate(texts_):
+        for w in (w for run in re.split(r"[ \n]+", t) for w in (run[i : i + 48] for i in range(0, len(run), 48)) if len(w) >= 3):
+            want[w] += 1
+            good[w] += k < 10
+    counts = lm_score.word_counts(docs_, labels_)
+    assert {r.word: (r.n_all, r.n_good) for r in counts.collect()} == {w: (n, good[w]) for w, n in want.items()}
+    for size in (0, 60, 10_000):
+        content = lm_score.dictionary(counts, "n_all", size).decode()
+        assert len(content.encode()) <= size
+        order = sorted((w for w in want if want[w] > 1), key=lambda w: ((want[w] - 1) * len(w.encode()), w))
+        taken = content.split()
+        assert taken == order[len(order) - len(taken) :] and (size < 10_000 or taken == order)
+    assert lm_score.dictionary_bytes(4 * 10**12) == 2 * lm_score.dictionary_bytes(10**12) > 0
+
+
 def test_lm_score(docs, rows, empty, spark):
     good = spark.createDataFrame([(i, int(i in (0, 1, 2)), 0) for i in range(12)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     got = by_id(lm_score.lm_score(docs, good))
