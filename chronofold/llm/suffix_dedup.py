@@ -22,6 +22,11 @@ keeps those in a bucket that occurs twice, which is written down.  All else work
 once, for the refinement and the removal (the exchange is reused).  The table of repeated buckets is broadcast
 only if it has no more than BUCKETS rows.
 
+Passages.  400 bytes can be more than a passage of 51 words has, so ``n_passages`` tells of these: of each 51 words in a row
+the least (by hash) of their twelve 40-word strings is a mark, and n_passages is the number of a document's different
+marks that another row holds too.  It is above 0 wherever 51 words in a row also occur in another row, and it is 0 where no
+40 words do; nothing is removed for it.  Two narrow passes and one count of marks (8 bytes each), as for the anchors.
+
 Edge cases.  Null text: empty.  Texts under 400 bytes, empty tables: nothing goes.  Repeated rows: both go.  Long
 texts are read in parts.  Null ids are kept.  Other columns are dropped.
 """
@@ -36,9 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, powers, prepare, small_side
+from .common import WORD_BYTES, materialise, mix64, powers, prepare, small_side
 
 LENGTH, Q = 400, 200
+PASSAGE, MARK = 51, 40  # words
 SMALL, PART, BUCKETS = 64, 1 << 20, 2_000_000
 _SHIFT = np.uint64(24)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -126,6 +132,74 @@ def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         yield text, grams[at].view(np.int64), kind.view(np.int64), lo - begins[own] + offset, hi - lo, at - lo
 
 
+def word_parts(texts: list[bytes], part: int = PART) -> Iterator[list[tuple[int, bytes]]]:
+    """(text, lower-cased words parted by spaces) in groups of about part bytes; parts of a text share PASSAGE - 1 words."""
+    group, n = [], 0
+    for i, t in enumerate(texts):
+        line, at = t.translate(WORD_BYTES), 0
+        while True:
+            end = line.find(b" ", at + part)
+            piece = line[at:] if end < 0 else line[at:end]
+            group.append((i, piece))
+            n += len(piece)
+            if n >= part:
+                yield group
+                group, n = [], 0
+            if end < 0:
+                break
+            held = piece.rsplit(None, PASSAGE - 1)
+            if len(held) == PASSAGE and held[0]:
+                at += len(held[0])
+            else:  # fewer words than that in so many bytes: take in more of them
+                at, part = at, part * 2
+    if group:
+        yield group
+
+
+def marks(texts: list[bytes], part: int = PART) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, mark): each text's different marks (of a part of it, where it has several)."""
+    for group in word_parts(texts, part):
+        data = np.frombuffer(b" ".join([*(p for _, p in group), b""]), np.uint8)
+        ends = np.cumsum([len(p) + 1 for _, p in group])
+        word = np.zeros(len(data) + 2, np.int8)
+        word[1:-1] = data != 32
+        edge = np.diff(word)
+        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(start) < PASSAGE:
+            continue
+        w = Rolling(data, _BASES[0]).at(start, stop)
+        own = np.searchsorted(ends, start, side="right")
+        forth, back, _ = _TABLES[(_BASES[0], "powers")]
+        sums = np.zeros(len(w) + 1, np.uint64)
+        np.cumsum(w * forth[: len(w)], out=sums[1:])
+        n = len(w) - MARK + 1
+        grams = mix64((sums[MARK:] - sums[:n]) * back[:n])
+        least = sliding_min(grams, PASSAGE - MARK + 1)
+        whole = own[: len(least)] == own[PASSAGE - 1 :]
+        at, least = np.array([i for i, _ in group])[own[: len(least)][whole]], least[whole]
+        order = np.lexsort((least, at))
+        at, least = at[order], least[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (least[1:] != least[:-1])
+        yield at[new], least[new]
+
+
+def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, uid, key = (batch.column(c).to_numpy() for c in ("row", "uid", "key"))
+        for text, mark in marks(_bytes(batch.column("text").to_pylist())):
+            yield pa.RecordBatch.from_arrays([pa.array(row[text]), pa.array(uid[text]), pa.array(key[text]), pa.array(mark.view(np.int64))], names=["row", "uid", "key", "m"])
+
+
+def shared_passages(base: DataFrame) -> DataFrame:
+    """(uid, key, n_passages) of the texts with marks that another row holds; base: (uid, key, text)."""
+    rows = base.select(F.monotonically_increasing_id().alias("row"), "uid", "key", "text").mapInArrow(_mark_rows, "row long, uid long, key long, m long")
+    # A text in several parts may tell a mark twice: a mark's rows are counted, not its tellings.
+    held = rows.groupBy("m").agg(F.min("row").alias("a"), F.max("row").alias("b"))
+    again = materialise(held.where("a <> b").select("m"), "suffix-marks")
+    return rows.join(small_side(again, BUCKETS), "m", "left_semi").groupBy("uid", "key").agg(F.count_distinct("m").alias("n_passages"))
+
+
 def refine(contexts: list[bytes], weights: np.ndarray) -> list[list[tuple[int, int]]]:
     """Ranges [first, end) of each context's strings that occur twice among all of them (by weight)."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -238,7 +312,7 @@ def remove(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]
 
 
 def dedup_substrings(docs: DataFrame, with_kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary), per row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages and, if asked for, kept (binary), per row of docs.
 
     Each byte covered by a 400-byte string that also starts anywhere else, the same text included, is removed.
     """
@@ -268,23 +342,24 @@ def dedup_substrings(docs: DataFrame, with_kept: bool = True) -> DataFrame:
     # A range of no end: the whole text goes.
     whole = base.select("uid", "key").join(copies, "uid").select("uid", "key", F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("e"))
     found = ranges.unionByName(small).unionByName(large).unionByName(whole).groupBy("uid", "key").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
+    found = found.join(shared_passages(base), ["uid", "key"], "full")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", *(["kept"] if with_kept else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data, own in zip(_bytes(batch.column("text").to_pylist()), batch.column("ranges").to_pylist(), strict=True):
+            for data, own, passages in zip(_bytes(batch.column("text").to_pylist()), batch.column("ranges").to_pylist(), batch.column("n_passages").to_pylist(), strict=True):
                 gone = [(r["s"], r["e"]) for r in own or []]
                 if any(e < 0 for _, e in gone):
                     gone = [(0, len(data))] if len(data) >= LENGTH else []
                 kept, n, spans = remove(data, gone)
-                rows.append((len(data), n, spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_kept else [])))
-            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+                rows.append((len(data), n, spans, hashlib.sha256(kept).hexdigest(), passages or 0, *([kept] if with_kept else [])))
+            kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds_))], names=names)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return texts.join(found, ["uid", "key"], "left").select("doc_id", "text", "ranges").mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return texts.join(found, ["uid", "key"], "left").select("doc_id", "text", "ranges", "n_passages").mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long" + ", kept binary" * with_kept)
 
 
 def digest(done: DataFrame) -> DataFrame:
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages")

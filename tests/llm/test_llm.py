@@ -381,6 +381,29 @@ def test_suffix(docs, rows, empty):
     assert suffix_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_suffix_passages(spark):
+    rng = random.Random(9)
+    own = lambda n: " ".join(f"{rng.getrandbits(24):x}" for _ in range(n))
+    p51, p39, p60 = " ".join(f"a{i}" for i in range(51)), " ".join(f"b{i}" for i in range(39)), " ".join(f"c{i}" for i in range(60))
+    texts_ = [f"{own(80)} {p51} {own(30)}", f"{own(5)}, {p51.upper()}! {own(200)}", f"{own(70)} {p39} {own(60)}", f"{own(9)} {p39}", f"{p60} {own(3)} {p60}", own(300), own(20), None, "", p60]
+    got = by_id(suffix_dedup.dedup_substrings(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")))
+    assert [got[i].n_passages > 0 for i in range(10)] == [True, True, False, False, True, False, False, False, False, True]
+    assert got[0].n_removed == got[1].n_removed == 0  # 51 short words are fewer than 400 bytes
+    # Cut into parts, a text tells the same marks.
+    text = " ".join(own(1) for _ in range(3000)).encode()
+    whole = {int(m) for _, ms in suffix_dedup.marks([text]) for m in ms}
+    for part in (300, 900, 5000):
+        assert {int(m) for _, ms in suffix_dedup.marks([text, b"x"], part) for m in ms} == whole
+
+
+def test_suffix_texts_in_parts(spark):
+    rng = random.Random(12)
+    big = "".join(rng.choice("abcdefghij klmnop") for _ in range((1 << 20) + 5000))
+    rows = [(1, big), (2, "z" * 50 + big[(1 << 20) - 700 : (1 << 20) + 700] + "y" * 50), (3, big[:10_000])]
+    got = by_id(suffix_dedup.dedup_substrings(spark.createDataFrame([*rows, (3, big[:10_000])], "doc_id long, text string")))
+    assert got[1].n_removed == 10_000 + 1400 and got[1].n_spans == 2 and got[2].n_removed == 1400 and got[3].n_removed == 10_000
+
+
 def test_token_counts(docs, rows, empty):
     scores = token_count.zipf_scores(token_count.default_vocabulary())
     low = min(scores.values()) - 10
