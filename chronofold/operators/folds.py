@@ -12,17 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def entries(log: DataFrame) -> DataFrame:
-    """(log, seq, k, v): top-level fields of each payload, v as JSON text: strings keep their quotes, JSON null is null.
+def fields(log: DataFrame) -> DataFrame:
+    """(log, seq, k, x): top-level fields of each payload, x as a variant.
 
     A payload that is no object is a field named by its record's key, if there is a key.
     """
-    key = F.col("key") if "key" in log.columns else F.lit(None).cast("string")
-    whole = F.when(key.isNotNull() & F.try_parse_json("payload").isNotNull(), F.create_map(key, F.parse_json("payload")))
-    is_object = F.ltrim("payload").startswith("{")
-    fields = F.when(is_object, F.from_json("payload", "map<string,variant>")).otherwise(whole)
-    typed = log.select("log", "seq", F.explode(F.map_entries(fields)).alias("e"))
-    return typed.select("log", "seq", F.col("e.key").alias("k"), F.coalesce(F.to_json("e.value"), F.lit("null")).alias("v"))
+    found = F.from_json("payload", "map<string,variant>")
+    if "key" in log.columns:
+        whole = F.when(F.col("key").isNotNull() & F.try_parse_json("payload").isNotNull(), F.create_map(F.col("key"), F.parse_json("payload")))
+        found = F.when(F.ltrim("payload").startswith("{"), found).otherwise(whole)
+    return log.select("log", "seq", F.explode(found).alias("k", "x"))
+
+
+def entries(log: DataFrame) -> DataFrame:
+    """(log, seq, k, v): top-level fields of each payload, v as JSON text: strings keep their quotes, JSON null is null."""
+    return fields(log).select("log", "seq", "k", F.coalesce(F.to_json("x"), F.lit("null")).alias("v"))
 
 
 def _last(value: Column, seq: str = "seq") -> Column:
@@ -31,7 +35,8 @@ def _last(value: Column, seq: str = "seq") -> Column:
 
 def assign(log: DataFrame) -> DataFrame:
     """(log, k, v): last value of each top-level field; null is a value."""
-    return entries(log).groupBy("log", "k").agg(_last(F.col("v")).alias("v"))
+    last = fields(log).groupBy("log", "k").agg(_last(F.col("x")).alias("x"))  # text is made of the last values only
+    return last.select("log", "k", F.coalesce(F.to_json("x"), F.lit("null")).alias("v"))
 
 
 def merge(log: DataFrame) -> DataFrame:
