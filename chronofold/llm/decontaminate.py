@@ -2,7 +2,8 @@
 
 Each text is normalised (A-Z lower-cased, words of digits, a-z and non-ASCII characters), its words are
 numbered by those of the items, and it is scanned once by the automaton; matches are ranges of words, mapped
-back to code-point offsets of the original text.
+back to code-point offsets of the original text.  Two words in a row that are so in no item end every window, so the
+automaton is only fed the runs between such places that are as long as the shortest window.
 
 Plan: one narrow pass over the documents (no shuffle).  The items are broadcast in blocks of at most
 ``block_bytes`` (about 100 bytes of automaton a byte), so what a worker holds is bounded whatever the size of
@@ -20,8 +21,10 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +38,28 @@ _AUTOMATA: dict = {}
 
 
 class Windows:
-    """The automaton over word numbers, and the numbers of the words that items hold (0: any other word)."""
+    """The automaton over word numbers, the numbers of the words that items hold (0: any other word), the sorted pairs of
+    words in a row that windows hold, as one number each, and the words of the shortest window."""
 
-    def __init__(self, numbers: dict[bytes, int], automaton):
+    def __init__(self, numbers: dict[bytes, int], automaton, windows):
         self.numbers, self.automaton = numbers, automaton
+        self.base, self.least = len(numbers) + 1, min(map(len, windows))
+        self.pairs = np.array(sorted({a * self.base + b for w in windows for a, b in zip(w, w[1:])}), np.int64)
+
+    def runs(self, ws: list[bytes]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """(first word, word numbers) of the runs that may hold a window; no window lies outside them or across two."""
+        x = np.fromiter(map(self.numbers.get, ws, repeat(0)), np.int64, len(ws))
+        known = np.concatenate(([False], x > 0, [False]))
+        joined = np.zeros(len(x) + 1, bool)  # whether a word goes on from the one before
+        at = np.flatnonzero(known[1:-2] & known[2:-1])
+        if len(at) and len(self.pairs):
+            pair = x[at] * self.base + x[at + 1]
+            joined[at + 1] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair
+        start = np.flatnonzero(known[1:-1] & ~joined[:-1])
+        stop = np.flatnonzero(known[1:-1] & ~joined[1:]) + 1
+        long = stop - start >= self.least
+        for a, b in zip(start[long].tolist(), stop[long].tolist(), strict=True):
+            yield a, tuple(x[a:b].tolist())
 
 
 def build_automaton(items: list[tuple[str | None, str | None]], window: int) -> Windows | None:
@@ -59,7 +80,7 @@ def build_automaton(items: list[tuple[str | None, str | None]], window: int) ->
     for key, value in found.items():
         automaton.add_word(key, value)
     automaton.make_automaton()
-    return Windows(numbers, automaton)
+    return Windows(numbers, automaton, found)
 
 
 def _automaton(key: str, items: list, window: int):
@@ -75,11 +96,11 @@ def scan(automaton, text: str) -> tuple[int, list[tuple[int, int]], set]:
     ws = words(text)
     if automaton is None or not ws:
         return len(ws), [], set()
-    get = automaton.numbers.get
     hits, items = [], set()
-    for last, (n, ids) in automaton.automaton.iter(tuple([get(w, 0) for w in ws])):
-        hits.append((last + 1 - n, last + 1))
-        items |= ids
+    for first, run in automaton.runs(ws):
+        for last, (n, ids) in automaton.automaton.iter(run):
+            hits.append((first + last + 1 - n, first + last + 1))
+            items |= ids
     return len(ws), merge(hits), items
 
 

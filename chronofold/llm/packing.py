@@ -26,9 +26,11 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -83,20 +85,24 @@ class WordTokenizer:
     @staticmethod
     def plain(chunk: str) -> str | None:
         """The chunk's lower-cased pre-tokens, each with a mark behind, if it is a plain word."""
+        if chunk.isascii() and chunk.isalpha():
+            return chunk.lower() + _MARK
         word, tail = (chunk[:-1], chunk[-1]) if len(chunk) > 1 and chunk[-1] in ".,;:!?" else (chunk, "")
         if not word.isalpha() or not word.isascii() and ("Σ" in word or not unicodedata.is_normalized("NFC", word) or not word.lower().isalpha()):
             return None
         return word.lower() + _MARK + (tail + _MARK if tail else "")
 
     def learn(self, chunks: list[str]) -> None:
-        marked, counts, plain = [], [], []
+        marked, counts, plain, other = [], [], [], []
         for chunk in chunks:
             if p := self.plain(chunk):
                 marked.append(p)
                 counts.append(p.count(_MARK))
                 plain.append(chunk)
             else:
-                self._add(chunk, self.exact.encode(chunk, add_special_tokens=False).ids)
+                other.append(chunk)
+        for chunk, found in zip(other, self.exact.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            self._add(chunk, found.ids)
         if not plain:
             return
         ids = np.array(self.fast.encode_ordinary("".join(marked)), np.uint32)
@@ -116,19 +122,20 @@ class WordTokenizer:
         self.size.append(len(ids))
         self.ids.extend(ids)
 
-    def encode(self, texts: list[str | None], size: int = 1 << 20) -> list[np.ndarray]:
+    def encode(self, texts: list[str | None], size: int = 1 << 22) -> list[np.ndarray]:
         parts: list[list[np.ndarray]] = [[] for _ in texts]
         for group in groups_of_texts(texts, size):
-            chunks, ends = [], []
-            for _, piece in group:
-                chunks += piece.replace("\n", " ").split(" ")
-                ends.append(len(chunks))
-            new = set(chunks).difference(self.index)
-            if len(self.index) + len(new) > self.cache:
+            split = pc.split_pattern(pc.replace_substring(pa.array([piece for _, piece in group], pa.large_string()), "\n", " "), " ")
+            coded, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()[1:].tolist()
+            chunks = coded.dictionary.to_numpy(zero_copy_only=False)  # each chunk of the group once
+            at = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+            if len(self.index) + np.count_nonzero(at < 0) > self.cache:
                 self._clear()
-                new = set(chunks)
-            self.learn(list(new))
-            at = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+                at[:] = -1
+            new = np.flatnonzero(at < 0)
+            self.learn(chunks[new].tolist())
+            at[new] = np.fromiter(map(self.index.__getitem__, chunks[new]), np.int64, len(new))
+            at = at[coded.indices.to_numpy()]
             size_, start, table = np.frombuffer(self.size, np.int64)[at], np.frombuffer(self.start, np.int64)[at], np.frombuffer(self.ids, np.uint32) if self.ids else np.zeros(0, np.uint32)
             stop = np.cumsum(size_)
             ids = table[np.repeat(start - (stop - size_), size_) + np.arange(stop[-1])]

@@ -85,6 +85,42 @@ def test_clean_drops_windows_and_cuts_short_items(spark):
     assert {r.doc_id: r.text for r in kept.collect()} == {2: long, 3: f"{long}, ! {long}", 5: None, 6: "", 7: f"{long} {item[:40]}"}
 
 
+def test_automaton_is_fed_only_runs_that_may_hold_a_window():
+    rng = random.Random(8)
+    fed = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def iter(self, x):
+            fed.append(len(x))
+            return self.inner.iter(x)
+
+    for window in (1, 3, 13):
+        for _ in range(300):
+            vocab = "abcdefgh"[: rng.randint(2, 8)]
+            items = [(str(i), " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 15)))) for i in range(rng.randint(1, 4))]
+            found = decontaminate.build_automaton(items, window)
+            wins = {}
+            for i, t in items:
+                ws = t.split(" ")
+                n = min(window, len(ws))
+                for k in range(len(ws) - n + 1):
+                    wins.setdefault(tuple(ws[k : k + n]), set()).add(i)
+            ws = [rng.choice(vocab + "z") for _ in range(rng.randint(0, 40))]
+            at = [(k, w) for w in wins for k in range(len(ws) - len(w) + 1) if tuple(ws[k : k + len(w)]) == w]
+            n, ranges, ids = decontaminate.scan(found, " ".join(ws))
+            assert n == len(ws) and ids == set().union(*(wins[w] for _, w in at))
+            assert {j for s, e in ranges for j in range(s, e)} == {j for k, w in at for j in range(k, k + len(w))}
+    item = " ".join(f"q{i}" for i in range(20))
+    windows = decontaminate.build_automaton([("1", item)], 13)
+    windows.automaton = Counted(windows.automaton)
+    back = " ".join(reversed(item.split(" ")))  # words of the item, but no two in a row
+    assert decontaminate.scan(windows, f"{back} {back}")[1:] == ([], set()) and fed == []
+    assert decontaminate.scan(windows, f"{back} {item} {back}") == (60, [(20, 40)], {"1"}) and fed == [20]
+
+
 def test_html():
     page = """<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=/x>menu</a></ul></nav><div class="cookie-notice">We use cookies</div>
     <div class="ad">buy</div><div class="content c12"><h1>Head &amp; line</h1><p>One <b>bold</b>&nbsp;word<br>next<p>Two</div><aside>side</aside><div id="comments"><p>I disagree a lot with all of this and write long</p></div><form>f</form><script>var t="</p>";</script><footer>&copy; x</footer>"""
@@ -364,6 +400,25 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_looks_a_chunk_up_once_a_group():
+    class Index(dict):
+        asked = 0
+
+        def get(self, *a):
+            Index.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Index.asked += 1
+            return super().__getitem__(k)
+
+    own = packing.WordTokenizer(packing.default_vocabulary())
+    first = own.encode(["some words, (again) some\nwords,"] * 500)
+    own.index = Index(own.index)
+    again = own.encode([None, "some words, (again) some\nwords,"] * 500)
+    assert Index.asked <= 10 and all(np.array_equal(again[1], x) for x in [*first, *again[1::2]]) and not any(map(len, again[::2]))
+
+
 def test_suffix(docs, rows, empty):
     data = {k: (r[1] or "").encode() for k, r in enumerate(rows)}
     seen = Counter(b[p : p + 400] for b in data.values() for p in range(len(b) - 399))
