@@ -41,9 +41,9 @@ MIN_TERMS, MIN_FILLED = 4, 6
 
 
 def term_hashes(text: Column) -> Column:
-    """Sorted distinct hashes of the text's words."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    """Distinct hashes of the text's words, in no order."""
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def lexicon(texts: DataFrame, n: int) -> DataFrame:
@@ -116,29 +116,40 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x.cast("int").bitwiseAND(F.lit(0xFFFF))), 4, "0")), "")
 
 
+def _sha_longs(text: Column) -> Column:
+    """A text's checksum as four longs, which a hash aggregation holds in place; a string would make it sort its rows."""
+    return _once(F.sha2(text, 256), lambda s: F.struct(*(F.conv(F.substring(s, 1 + 16 * k, 16), 16, -10).cast("long").alias(f"s{k}") for k in range(4))))
+
+
+def _sha_text(parts: Column) -> Column:
+    return F.lower(F.concat(*(F.lpad(F.hex(parts[f"s{k}"]), 16, "0") for k in range(4))))
+
+
 def fingerprint_pairs(texts: DataFrame, lex: DataFrame) -> DataFrame:
     """(k1, k2, fa, fe, sha): fingerprints of text and edited, and the checksum of edited; one row a key.
 
     The terms are exploded, looked up and added up by cell where the texts lie: no shuffle if the lexicon is broadcast.
+    All that is added up by cell is a long, so that this is a hash aggregation and the terms are never sorted.
     A row without a term keeps texts that have none.
     """
-    side = lambda e, text, sha: F.struct(F.lit(e).alias("e"), term_hashes(F.col(text)).alias("ts"), F.xxhash64(text, F.lit(3)).alias("w"), sha.alias("sha"))
-    both = texts.select("k1", "k2", F.explode(F.array(side(0, "text", F.lit(None).cast("string")), side(1, "edited", F.sha2("edited", 256)))).alias("x"))
-    each = both.select("k1", "k2", "x.e", "x.w", "x.sha", F.explode_outer("x.ts").alias("term"))
+    side = lambda e, text, sha: F.struct(F.lit(e).alias("e"), term_hashes(F.col(text)).alias("ts"), F.xxhash64(text, F.lit(3)).alias("w"), sha.alias("s"))
+    sha, no_sha = [f"s{k}" for k in range(4)], F.struct(*(F.lit(0).cast("long").alias(f"s{k}") for k in range(4)))
+    both = texts.select("k1", "k2", F.explode(F.array(side(0, "text", no_sha), side(1, "edited", _sha_longs(F.col("edited"))))).alias("x"))
+    each = both.select("k1", "k2", "x.e", "x.w", "x.s.*", F.explode_outer("x.ts").alias("term"))
     found = each.join(small_side(lex.select("term", F.lit(True).alias("in_band")), LEXICON_ROWS), "term", "left")
     term, zero = F.col("term"), F.lit(0).cast("long")
-    added = found.select("k1", "k2", "e", "w", "sha", "term", "in_band", cell_of(term).alias("cell"), set_hash(term).alias("h"))
+    added = found.select("k1", "k2", "e", "w", *sha, "term", "in_band", cell_of(term).alias("cell"), set_hash(term).alias("h"))
     sums = [F.coalesce(F.bit_xor(F.when(at_level(term, k) & (F.col("in_band") if band else term.isNotNull()), F.col("h"))), zero).alias(f"{name}{k}") for name, band in (("a", False), ("b", True)) for k in range(LEVELS)]
-    cells = added.groupBy("k1", "k2", "e", "cell").agg(*sums, F.count("term").alias("terms"), F.count("in_band").alias("band"), F.max("w").alias("w"), F.max("sha").alias("sha"))
+    cells = added.groupBy("k1", "k2", "e", "cell").agg(*sums, F.count("term").alias("terms"), F.count("in_band").alias("band"), *(F.max(c).alias(c) for c in ("w", *sha)))
     named = lambda name: F.struct(*(F.col(f"{name}{k}").alias(f"l{k}") for k in range(LEVELS)))
     held = F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", named("a").alias("a"), named("b").alias("b"))))
-    kept = cells.groupBy("k1", "k2", "e").agg(held.alias("cells"), F.sum("terms").alias("terms"), F.sum("band").alias("band"), F.max("w").alias("w"), F.max("sha").alias("sha"))
+    kept = cells.groupBy("k1", "k2", "e").agg(held.alias("cells"), F.sum("terms").alias("terms"), F.sum("band").alias("band"), *(F.max(c).alias(c) for c in ("w", *sha)))
     none, w = F.struct(*(zero.alias(f"l{k}") for k in range(LEVELS))), F.col("w")
     numbers = F.array(*(F.lit(c) for c in range(CELLS)))
     own = lambda name: _once(F.map_from_entries(F.transform("cells", lambda c: F.struct(c["cell"], c[name]))), lambda m: F.transform(numbers, lambda c: F.coalesce(F.try_element_at(m, c), none)))
     whole = F.transform(numbers, lambda c: F.when(c == cell_of(w), F.struct(*(F.when(at_level(w, k), set_hash(w)).otherwise(zero).alias(f"l{k}") for k in range(LEVELS)))).otherwise(none))
     pick = F.when(F.col("band") >= MIN_TERMS, own("b")).when(F.col("terms") > 0, own("a")).otherwise(whole)
-    fp = kept.select("k1", "k2", "e", "sha", subsets_of(pick).alias("fp"))
+    fp = kept.select("k1", "k2", "e", F.when(F.col("e") == 1, _sha_text(F.struct(*sha))).alias("sha"), subsets_of(pick).alias("fp"))
     of = lambda e: F.max(F.when(F.col("e") == e, F.col("fp")))
     return fp.groupBy("k1", "k2").agg(F.max("sha").alias("sha"), of(0).alias("fa"), of(1).alias("fe"))
 

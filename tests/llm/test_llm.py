@@ -367,6 +367,15 @@ def test_imatch_group_outside_the_band(spark):
     assert min(r.near_edited for r in got.values()) > 0.2 and min(r.near_next for r in got.values()) > 0.8
 
 
+def test_imatch_adds_terms_up_without_a_sort(spark):
+    rows = [(i, i, f"some words {i} and more", f"other words {i}") for i in range(300)]
+    texts = spark.createDataFrame(rows, "k1 long, k2 long, text string, edited string")
+    found = imatch.fingerprint_pairs(texts, imatch.lexicon(texts, 300))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[[^]]*cell", plan) and not re.search(r"SortAggregate\(key=\[[^]]*cell", plan)
+    assert {r.k1: r.sha for r in found.collect()} == {i: hashlib.sha256(e.encode()).hexdigest() for i, _, _, e in rows}
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
