@@ -57,9 +57,8 @@ def token_id(token: Column, left: Column, right: Column) -> Column:
 def to_base64(n: Column) -> Column:
     """Unsigned 64-bit value in the 64-symbol alphabet, unpadded; 0 is '0'."""
     six = lambda i: F.shiftrightunsigned(n, 6 * i).bitwiseAND(F.lit(63)).cast("int")
-    digits = F.concat(*(F.substring(F.lit(ALPHABET), six(i) + 1, F.lit(1)) for i in range(10, -1, -1)))
-    stripped = F.ltrim(digits, F.lit("0"))
-    return F.when(F.length(stripped) == 0, "0").otherwise(stripped)
+    digits = [F.substring(F.lit(ALPHABET), six(i) + 1, F.lit(1)) for i in range(10, -1, -1)]
+    return F.concat(F.ltrim(F.concat(*digits[:-1]), F.lit("0")), digits[-1])
 
 
 def from_base64(key: Column) -> Column:

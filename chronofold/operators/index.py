@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
@@ -13,7 +13,8 @@ VERSION, DENSE = 1, 20  # levels above DENSE are kept as a list of positions, no
 def entries(log: DataFrame) -> DataFrame:
     """(log, level, bits, position): each stored key's bits, and their value within its level."""
     bits = keys.to_bits(F.col("key"))
-    own = log.where(F.col("key").isNotNull()).select("log", bits.alias("bits")).distinct()
+    held = log.select("log", F.explode(F.array("key")).alias("key")).where(F.col("key").isNotNull())  # a key that is worked out is so once, not in the filter too
+    own = held.select("log", bits.alias("bits")).distinct()
     return own.select("log", F.length("bits").alias("level"), "bits", F.coalesce(F.conv("bits", 2, 10).cast("decimal(20,0)"), F.lit(0)).alias("position"))
 
 
@@ -48,30 +49,58 @@ def lookup(index: DataFrame, wanted: DataFrame, upto: int = 64) -> DataFrame:
     return hit.groupBy(*wanted.columns).agg(F.min_by("__p", F.when(F.col("__t"), F.col("__n"))).alias("found"))
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value worked out once: in the body of a lambda function it would be for each of its elements."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _bitmap(marks: Column) -> Column:
+    """The base64 of a bitmap, from its bytes that are not zero: structs (at, b), in order of at."""
+    gap = lambda x, i: (x["at"] - F.coalesce(F.get(marks, i - 1)["at"] + 1, F.lit(0))).cast("int")
+    text = F.array_join(F.transform(marks, lambda x, i: F.concat(F.repeat(F.lit("00"), gap(x, i)), F.lpad(F.hex(x["b"]), 2, "0"))), "")
+    return F.replace(F.base64(F.unhex(text)), F.lit("\r\n"), F.lit(""))
+
+
+def _marks(raw: Column) -> Column:
+    """The bytes of a bitmap that are not zero: structs (at, b). Runs of zero bytes are passed over in ever shorter steps."""
+    spots, last = F.array(F.lit(0)), F.greatest(F.length(raw) - 1, F.lit(0))
+    within = lambda i, width, step: F.filter(F.sequence(i, F.least(i + (width - 1), last), F.lit(step)), lambda j: F.substring(raw, j + 1, F.lit(step)) > F.lit(bytes(step)))
+    for width, step in ((1 << 30, 4096), (4096, 256), (256, 16), (16, 1)):
+        spots = F.flatten(F.transform(spots, lambda i: within(i, width, step)))
+    return F.transform(spots, lambda i: F.struct(i.alias("at"), F.conv(F.hex(F.substring(raw, i + 1, F.lit(1))), 16, 10).cast("int").alias("b")))
+
+
 def to_lines(index: DataFrame) -> DataFrame:
     """(log, level, line): a header line (level 0) and one line a level: `level:b:base64` of a little-endian bitmap up to
-    level DENSE, above it `level:s:` and the positions."""
-    n = F.col("position").cast("long")
-    bytes_ = index.where(F.col("level") <= DENSE).groupBy("log", "level", F.floor(n / 8).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (n % 8).cast("int"))).alias("b"))
-    maps = bytes_.groupBy("log", "level").agg(F.map_from_entries(F.collect_list(F.struct("at", F.lpad(F.hex("b"), 2, "0")))).alias("m"), F.max("at").alias("last"))
-    dense = maps.select("log", "level", F.concat(F.col("level"), F.lit(":b:"), F.regexp_replace(F.base64(F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("00"))), ""))), r"\s", "")).alias("line"))
-    sparse = index.where(F.col("level") > DENSE).groupBy("log", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_set("position")), lambda x: x.cast("string")), ",").alias("p"))
-    sparse = sparse.select("log", "level", F.concat(F.col("level"), F.lit(":s:"), "p").alias("line"))
-    head = index.groupBy("log").agg(F.max("level").alias("m")).select("log", F.lit(0).alias("level"), F.concat(F.lit(f"index v{VERSION} levels "), "m").alias("line"))
-    return head.unionByName(dense).unionByName(sparse)
+    level DENSE, above it `level:s:` and the positions.
+
+    Each key gives a mark to its level (a bit of a byte, or a position) and its level to the header, all in one pass.
+    """
+    n, dense = F.col("position").cast("long"), F.col("level") <= DENSE
+    at = F.when(dense, F.shiftright(n, 3).cast("decimal(20,0)")).otherwise(F.col("position").cast("decimal(20,0)"))
+    bit = F.when(dense, F.call_function("shiftleft", F.lit(1), n.bitwiseAND(F.lit(7)).cast("int")))
+    own = F.struct(F.lit(False).alias("head"), "level", at.alias("at"), bit.alias("b"))
+    top = F.struct(F.lit(True).alias("head"), F.lit(0).alias("level"), F.col("level").cast("decimal(20,0)").alias("at"), F.lit(None).cast("int").alias("b"))
+    marks = index.select("log", F.inline(F.array(own, top))).groupBy("log", "head", "level", "at").agg(F.bit_or("b").alias("b"))
+    each = marks.groupBy("log", "head", "level").agg(F.sort_array(F.collect_list(F.struct("at", "b"))).alias("m"))
+    positions = F.array_join(F.transform("m", lambda x: x["at"].cast("string")), ",")
+    line = F.when(F.col("head"), F.concat(F.lit(f"index v{VERSION} levels "), F.element_at("m", -1)["at"].cast("string")))
+    line = line.when(dense, F.concat(F.col("level"), F.lit(":b:"), _let(F.col("m"), _bitmap))).otherwise(F.concat(F.col("level"), F.lit(":s:"), positions))
+    return each.select("log", "level", line.alias("line"))
 
 
 def from_lines(lines: DataFrame) -> DataFrame:
     """The index (log, level, bits, position) of its lines; lines that cannot be read are skipped, and so is every line of a
     log whose header is missing or of another version (its index has to be built anew)."""
-    ok = lines.where(F.col("line").startswith(f"index v{VERSION} ")).select("log").distinct()
-    got = lines.join(ok, "log", "left_semi").withColumn("p", F.regexp_extract("line", r"^\d+:([bs]):(.*)$", 1)).withColumn("d", F.regexp_extract("line", r"^\d+:([bs]):(.*)$", 2))
-    level = F.regexp_extract("line", r"^(\d+):", 1).try_cast("int")
-    raw = F.hex(F.try_to_binary("d", F.lit("base64")))
-    dense = got.where(F.col("p") == "b").select("log", level.alias("level"), F.posexplode(F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.conv(F.substring(raw, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))).alias("at", "b"))
-    dense = dense.select("log", "level", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(F.call_function("shiftright", F.col("b"), k).bitwiseAND(F.lit(1)) == 1, F.col("at") * 8 + k)), lambda x: x.isNotNull())).alias("position")).withColumn("position", F.col("position").cast("decimal(20,0)"))
-    sparse = got.where(F.col("p") == "s").select("log", level.alias("level"), F.explode(F.split("d", ",")).alias("x")).select("log", "level", F.col("x").try_cast("decimal(20,0)").alias("position"))
-    out = dense.unionByName(sparse).where(F.col("position").isNotNull() & (F.col("level") > 0))
+    form, text = r"^\d+:([bs]):(.*)$", F.lit(None).cast("string")
+    ok = F.max(F.col("line").startswith(f"index v{VERSION} ")).over(Window.partitionBy("log"))
+    got = lines.select("log", "line", ok.alias("__ok")).where("__ok").select("log", F.regexp_extract("line", r"^(\d+):", 1).try_cast("int").alias("level"), F.regexp_extract("line", form, 1).alias("p"), F.regexp_extract("line", form, 2).alias("d"))
+    dense = F.transform(_let(F.try_to_binary("d", F.lit("base64")), _marks), lambda x: F.struct(x["at"].alias("at"), x["b"].alias("b"), text.alias("x")))
+    sparse = F.transform(F.split("d", ","), lambda x: F.struct(F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("b"), x.alias("x")))
+    marks = got.where(F.col("level") > 0).select("log", "level", F.inline(F.when(F.col("p") == "b", dense).when(F.col("p") == "s", sparse)))
+    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.when(F.call_function("shiftright", F.col("b"), k).bitwiseAND(F.lit(1)) == 1, F.col("at") * 8 + k)), lambda x: x.isNotNull())
+    each = F.when(F.col("x").isNull(), F.transform(bits, lambda x: x.cast("decimal(20,0)"))).otherwise(F.array(F.col("x").try_cast("decimal(20,0)")))
+    out = marks.select("log", "level", F.explode(each).alias("position")).where(F.col("position").isNotNull())
     return out.select("log", "level", F.lpad(F.conv(F.col("position").cast("string"), 10, 2), F.col("level"), F.lit("0")).alias("bits"), "position")
 
 

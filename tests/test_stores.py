@@ -1,6 +1,8 @@
 """Files, the index, edits of paged text, commands, addresses, channels and the facade."""
 
+import base64
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -73,6 +75,35 @@ def test_index(spark):
     assert index.extents(log).agg(F.max("last")).first()[0] == sum(len(r.payload) + len(r.key) + 2 for r in log.collect())
 
 
+def test_index_lines_of_far_positions(spark):
+    """Bitmaps of up to 128 KiB: their work grows with their size, and their bytes are those of a bitmap made by hand."""
+    held = {("a", 20): {0, 7, 8, 4095 * 8 + 1, 4096 * 8, (1 << 20) - 1}, ("a", 3): set(range(8)), ("a", 21): {5, (1 << 21) - 1}, ("a", 63): {(1 << 63) - 1, 9}, ("b", 12): {0}, (None, 9): {300, 511}}
+    held |= {(f"far{i}", 20): {(1 << 20) - 1 - i, 17 * i} for i in range(6)}
+    rows = [(log, level, format(p, f"0{level}b"), p) for (log, level), at in held.items() for p in at]
+    own = spark.createDataFrame(rows, "log string, level int, bits string, position long").withColumn("position", F.col("position").cast("decimal(20,0)"))
+    began = time.monotonic()
+    lines = index.to_lines(own.unionByName(own.limit(3))).collect()
+    assert len(lines) == len({log for log, _ in held}) + len(held)
+    for log, level, line in lines:
+        if level == 0:
+            assert line == f"index v1 levels {max(n for other, n in held if other == log)}"
+        elif level > 20:
+            assert line == f"{level}:s:" + ",".join(map(str, sorted(held[log, level])))
+        else:
+            bitmap = sum(1 << p for p in held[log, level])
+            assert line == f"{level}:b:" + base64.b64encode(bitmap.to_bytes(max(held[log, level]) // 8 + 1, "little")).decode()
+    table = spark.createDataFrame(lines, "log string, level int, line string")
+    odd = spark.createDataFrame([("b", 4, "4:b:"), ("b", 5, "5:b:?"), ("b", 6, "6:s:x,3"), ("b", 7, None), ("b", 7, "7:b:gA==\r"), ("c", 0, "index v2 levels 3"), ("c", 3, "3:b:AQ=="), ("d", 0, None), ("d", 3, "3:b:AQ==")], table.schema)
+    want = sorted(map(str, [*((r[0], r[1], r[2], int(r[3])) for r in rows), ("b", 6, "000011", 3), ("b", 7, "0000111", 7)]))
+    assert sorted(str((r.log, r.level, r.bits, int(r.position))) for r in index.from_lines(table.unionByName(odd)).collect()) == want
+    assert time.monotonic() - began < 60
+
+
+def test_key_text_keeps_zeros_within(spark):
+    got = spark.createDataFrame([(n,) for n in (0, 1, 63, 64, 4096, 4097, (1 << 62), -1, None)], "n long").select(keys.to_base64(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["0", "1", "+", "10", "100", "101", "40000000000", "f" + "+" * 10, None]
+
+
 def test_verify_takes_any_field_order_and_ranges(spark):
     rows = spark.createDataFrame([("l", i, f'{{"z": {i}, "a": "ü", "n": {{"y": 1.50, "b": null}}}}') for i in range(100)] + [("l", 100, '"just text"'), ("l", 101, "null"), ("l", 102, "[3, 1]")], "log string, seq long, payload string")
     log = chain.write_chain(rows).cache()
